@@ -214,5 +214,22 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, bloc
     return found if found is not None else spark.createDataFrame([], FOUND)
 
 
+def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold a copy of no item."""
+    at, source = docs.columns.index("text"), docs
+    for rows in _blocks(items, block_bytes):
+        block = Items(rows, similarity)
+        block.choose(_frequencies(source.select("text"), block))
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, held=held):
+            own = held.value
+            for batch in batches:
+                yield batch.filter(pa.array([not own.search(text) for text in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op10_seed_align_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

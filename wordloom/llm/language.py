@@ -283,6 +283,22 @@ def predict(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, tagger: Tagger, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a letter and one language for at least ``least`` of it."""
+    held = docs.sparkSession.sparkContext.broadcast(tagger)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        own = held.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                langs, score = own.predict(part.column(at))
+                yield part.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str | Column = "doc_id") -> Column:
     return F.coalesce(fold(key) % 5 == 0, F.lit(False))
 

@@ -140,21 +140,21 @@ def cuts(scored: DataFrame) -> dict[tuple[int, int], int]:
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's id and text (null: empty) with ``spans``: array of (start, kind, end), sorted."""
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``row`` (the input row), ``text`` (null: empty) and ``spans``: array of (start, kind, end), sorted."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias(id_col), text.alias(text_col))
-    own = rows.select("*", base_places(F.col(text_col)).alias("base"))
-    own = own.select("*", candidates(F.col(text_col), F.col("base")).alias("candidates"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"))
+    own = rows.select("*", base_places(F.col("text")).alias("base"))
+    own = own.select("*", candidates(F.col("text"), F.col("base")).alias("candidates"))
     excess = excesses(own)
     shares = F.array(*[F.lit(float(excess.get(e, FLOOR))) for e in range(len(ENCODINGS))])
-    scored = own.select(id_col, text_col, "base", F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), c["band"].alias("band"), _score(c, F.element_at(shares, c["encoding"] + 1)).alias("bin"))).alias("candidates"))
+    scored = own.select("row", "text", "base", F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), c["band"].alias("band"), _score(c, F.element_at(shares, c["encoding"] + 1)).alias("bin"))).alias("candidates"))
     bars = cuts(scored)
     accept = lambda c: F.element_at(F.array(*[F.lit(bars.get((e, b), BINS + 1)) for e in range(len(ENCODINGS)) for b in range(8)]), c["encoding"] * 8 + c["band"] + 1) <= c["bin"]
     plain = lambda c, kind: F.struct(c["start"].alias("start"), kind.alias("kind"), c["end"].alias("end"))
     base = F.transform("base", lambda c: plain(c, c["kind"]))
     added = F.transform(F.filter("candidates", accept), lambda c: plain(c, F.lit(3)))
-    return scored.select(id_col, text_col, F.array_sort(F.concat(base, added)).alias("spans"))
+    return scored.select("row", "text", F.array_sort(F.concat(base, added)).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -162,22 +162,22 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced (overlapping spans become one mark)."""
-    text = F.col(text_col)
+def masked(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs``, all columns; in the text every span (overlapping ones together) is ``mark``."""
+    text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size("spans") > 0, whole).otherwise(text)
+    found = scan(docs, text_col)
+    return found.select(*[F.when(F.size("spans") > 0, whole).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
-    return found.select("doc_id", count(0), count(1), count(2), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", count(0), count(1), count(2), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
