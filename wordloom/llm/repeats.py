@@ -267,14 +267,17 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ranges = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     probes = docs.where("doc_id IS NOT NULL").mapInArrow(_probes(block, ranges), PACKED)
     hits = stored(probes.groupBy("range").applyInArrow(_hot, "doc_id long, hits binary"))
+    del probes
     release(spark)
     by_doc = hits.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))  # at most a document's own words
     joined = docs.mapInArrow(_compressed, "doc_id long, text binary").join(by_doc, "doc_id", "left").select("doc_id", "text", "hits")
     state = stored(joined.mapInArrow(_extend(block, window), "doc_id long, n_words long, kept_sha256 string, text binary, digests binary, starts binary"))
+    del joined, by_doc, hits
     release(spark)
     met = state.where("digests IS NOT NULL")
     rows = met.select("doc_id", "digests", "starts").mapInArrow(_window_rows(ranges), PACKED)
     owned = stored(rows.groupBy("range").applyInArrow(_first_owner, "doc_id long, hits binary"))
+    del rows
     release(spark)
     owned = owned.groupBy("doc_id").agg(F.collect_list("hits").alias("owned"))
     cleaned = met.select("doc_id", "n_words", "text").join(owned, "doc_id", "left").select("doc_id", "n_words", "text", "owned")
