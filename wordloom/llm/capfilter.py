@@ -48,12 +48,13 @@ def parameters(rows: int, cosine: float = COSINE, bucket: int = BUCKET, common:
 
 
 def codes(dim: int, words: int) -> list[np.ndarray]:
-    """Two blocks of unit code words, from fixed seeds; a block is up to ``dim`` at a time orthogonal."""
+    """Two blocks of code words (unit vectors where a block is wide), from fixed seeds."""
     out = []
     for block, width in enumerate((dim - dim // 2, dim // 2)):
         rng = np.random.default_rng([19, dim, words, block])
         rows = rng.standard_normal((words, width)) if width else np.zeros((words, 0))
-        out.append(rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300))
+        # in a narrow block unit words would hardly differ; there the normal length stays
+        out.append(rows / (np.linalg.norm(rows, axis=1, keepdims=True) if width >= 8 else sqrt(max(width, 1))))
     return out
 
 

@@ -55,7 +55,7 @@ def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte counts (..., 256) to zeros and ones of the 255 decisions, heap order from index 0."""
     level, left, right = counts, [], []
     while level.shape[-1] > 1:
-        pair = level.reshape(*level.shape[:-1], -1, 2)
+        pair = level.reshape(*level.shape[:-1], level.shape[-1] // 2, 2)
         left.append(pair[..., 0])
         right.append(pair[..., 1])
         level = pair.sum(axis=-1)

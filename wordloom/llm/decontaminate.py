@@ -65,21 +65,21 @@ def gram_size(length: int, similarity: float, most: int = GRAM) -> int:
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment (match 2, mismatch -1, gap -1): matched words, first and last passage word."""
+    """Best local alignment (match 4, mismatch -1, gap -1): matched words, first and last passage word."""
     n, m = len(item), len(passage)
     score = np.zeros((n + 1, m + 1), dtype=np.int32)
     hit = item[:, None] == passage[None, :]
     gap = np.arange(m + 1, dtype=np.int32)
     for i in range(1, n + 1):
         row = np.zeros(m + 1, dtype=np.int32)
-        row[1:] = np.maximum(score[i - 1, :-1] + np.where(hit[i - 1], 2, -1), score[i - 1, 1:] - 1)
+        row[1:] = np.maximum(score[i - 1, :-1] + np.where(hit[i - 1], 4, -1), score[i - 1, 1:] - 1)
         np.maximum(row, 0, out=row)
         # gaps in the item: a running maximum over score + position
         score[i] = np.maximum.accumulate(row + gap) - gap
     i, j = np.unravel_index(int(score.argmax()), score.shape)
     last, matched = int(j) - 1, 0
     while i > 0 and j > 0 and score[i, j] > 0:
-        if score[i, j] == score[i - 1, j - 1] + (2 if hit[i - 1, j - 1] else -1):
+        if score[i, j] == score[i - 1, j - 1] + (4 if hit[i - 1, j - 1] else -1):
             matched += bool(hit[i - 1, j - 1])
             i, j = i - 1, j - 1
         elif score[i, j] == score[i - 1, j] - 1:

@@ -75,32 +75,45 @@ def base_places(text: Column) -> Column:
     return F.concat(places(text, ASSIGN, 0, long_value), places(text, ACCESS, 1), places(text, HEX, 2))
 
 
-def _battery(c: Column) -> Column:
-    """A candidate with its encoding, chi-squared statistic, degrees of freedom and the other tests' z."""
-    token = c["token"]
-    encoding = F.lit(len(ENCODINGS) - 1)
-    for number in range(len(ENCODINGS) - 2, -1, -1):
-        encoding = F.when(token.rlike(ENCODINGS[number][1]), number).otherwise(encoding)
-    n = F.length(token).cast("double")
-    alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), encoding + 1)
-    folded = F.when(encoding.isin(1, 4), F.lower(token)).otherwise(token)
-    k = F.length(alphabet).cast("double")
-    chars = F.split(folded, "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, x: a + F.pow(n - F.length(F.replace(folded, x, F.lit(""))), F.lit(2.0)))
-    values = F.transform(chars, lambda x: F.call_function("instr", alphabet, x).cast("double"))
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    power = F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v)
-    lagged = F.aggregate(F.zip_with(values, F.slice(values, 2, F.size(values)), lambda a, b: a * F.coalesce(b, F.element_at(values, 1))), F.lit(0.0), lambda a, v: a + v)
-    spread = n * power - total * total
-    serial = F.when(spread <= 0, 99.0).otherwise((n * lagged - total * total) / spread * F.sqrt(n))
-    high = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.when(v > k / 2, 1.0).otherwise(0.0))
-    low = n - high
-    flips = F.aggregate(F.zip_with(values, F.slice(values, 2, F.size(values)), lambda a, b: F.when(b.isNotNull() & ((a > k / 2) != (b > k / 2)), 1.0).otherwise(0.0)), F.lit(1.0), lambda a, v: a + v)
-    mean = 2 * high * low / n + 1
-    variance = (mean - 1) * (mean - 2) / (n - 1)
-    runs = F.when(variance <= 0, 99.0).otherwise((flips - mean) / F.sqrt(variance))
-    return F.struct(c["start"].alias("start"), c["end"].alias("end"), encoding.alias("encoding"), F.least(F.floor(F.log2(n / LEAST) * 2), F.lit(7)).cast("int").alias("band"),
-                    n.alias("n"), (k / n * squares - n).alias("chi2"), (k - 1).alias("df"), runs.alias("runs"), serial.alias("serial"))
+def _with(found: Column, keep: list[str], **new) -> Column:
+    """Array of structs with further fields; each step's fields are computed once and then only read."""
+    return F.transform(found, lambda c: F.struct(*[c[k].alias(k) for k in keep], *[f(c).alias(k) for k, f in new.items()]))
+
+
+def _battery(found: Column) -> Column:
+    """Candidates with their encoding, chi-squared statistic, degrees of freedom and the other tests' z."""
+
+    def encoding(c):
+        out = F.lit(len(ENCODINGS) - 1)
+        for number in range(len(ENCODINGS) - 2, -1, -1):
+            out = F.when(c["token"].rlike(ENCODINGS[number][1]), number).otherwise(out)
+        return out
+
+    def total(values, f):
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + f(v))
+
+    place, what = ["start", "end"], ["start", "end", "encoding", "n"]
+    found = _with(found, [*place, "token"], encoding=encoding, n=lambda c: F.length(c["token"]).cast("double"))
+    found = _with(found, what, alphabet=lambda c: F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), c["encoding"] + 1),
+                  text=lambda c: F.when(c["encoding"].isin(1, 4), F.lower(c["token"])).otherwise(c["token"]))
+    found = _with(found, [*what, "text"], k=lambda c: F.length(c["alphabet"]).cast("double"), chars=lambda c: F.split(c["text"], ""), alphabet=lambda c: c["alphabet"])
+    found = _with(found, [*what, "k"], values=lambda c: F.transform(c["chars"], lambda x: F.call_function("instr", c["alphabet"], x).cast("double")),
+                  squares=lambda c: total(F.array_distinct(c["chars"]), lambda x: F.pow(c["n"] - F.length(F.replace(c["text"], x, F.lit(""))), F.lit(2.0))))
+    found = _with(found, [*what, "k", "squares", "values"], behind=lambda c: F.array_append(F.slice(c["values"], F.lit(2), F.size(c["values"])), F.element_at(c["values"], 1)))
+    found = _with(
+        found, [*what, "k", "squares"], sum=lambda c: total(c["values"], lambda v: v), power=lambda c: total(c["values"], lambda v: v * v),
+        lagged=lambda c: total(F.zip_with(c["values"], c["behind"], lambda x, y: x * y), lambda v: v),
+        high=lambda c: total(c["values"], lambda v: F.when(v > c["k"] / 2, 1.0).otherwise(0.0)),
+        flips=lambda c: total(F.zip_with(c["values"], c["behind"], lambda x, y: F.when((x > c["k"] / 2) != (y > c["k"] / 2), 1.0).otherwise(0.0)), lambda v: v)
+        + F.when((F.element_at(c["values"], 1) > c["k"] / 2) != (F.element_at(c["values"], -1) > c["k"] / 2), 0.0).otherwise(1.0),
+    )
+    found = _with(found, [*what, "k", "squares", "lagged", "flips", "sum"], spread=lambda c: c["n"] * c["power"] - c["sum"] * c["sum"], mean=lambda c: 2 * c["high"] * (c["n"] - c["high"]) / c["n"] + 1)
+    found = _with(found, [*what, "k", "squares", "lagged", "flips", "sum", "spread", "mean"], variance=lambda c: (c["mean"] - 1) * (c["mean"] - 2) / (c["n"] - 1))
+    return _with(
+        found, what, band=lambda c: F.least(F.floor(F.log2(c["n"] / LEAST) * 2), F.lit(7)).cast("int"), chi2=lambda c: c["k"] / c["n"] * c["squares"] - c["n"], df=lambda c: c["k"] - 1,
+        runs=lambda c: F.when(c["variance"] <= 0, 99.0).otherwise((c["flips"] - c["mean"]) / F.sqrt(c["variance"])),
+        serial=lambda c: F.when(c["spread"] <= 0, 99.0).otherwise((c["n"] * c["lagged"] - c["sum"] * c["sum"]) / c["spread"] * F.sqrt(c["n"])),
+    )
 
 
 def _score(c: Column, excess: Column) -> Column:
@@ -114,7 +127,7 @@ def _score(c: Column, excess: Column) -> Column:
 def candidates(text: Column, base: Column) -> Column:
     found = places(text, CANDIDATE, 3)
     free = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.transform(free, _battery)
+    return _battery(free)
 
 
 def excesses(spans: DataFrame) -> dict[int, float]:
