@@ -39,9 +39,14 @@ ENCODINGS = [  # name, what all characters are, alphabet in order
     ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 ]
 FDR = 0.01
-FLOOR = 0.5  #: least excess per character that ordinary text is taken to have
 LIMIT_Z = 3.3
 BIN, BINS = 10, 400  #: bins a decade of probability, and their number
+LETTER_MATCH = 0.065  #: chance that two letters of ordinary text are equal
+
+
+def least_excess(encoding: int) -> float:
+    """What ordinary text has at least of excess chi-squared per character in an alphabet."""
+    return max(0.5, LETTER_MATCH * len(ENCODINGS[encoding][2]) - 1)
 
 
 def _normal_log10_tail(z: Column) -> Column:
@@ -131,10 +136,10 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def excesses(spans: DataFrame) -> dict[int, float]:
-    """Excess chi-squared per character of each encoding over all candidates, at least ``FLOOR``."""
+    """Excess chi-squared per character of each encoding over all candidates, at least that of letters."""
     c = spans.select(F.explode("candidates").alias("c")).select("c.*")
     rows = c.groupBy("encoding").agg(F.sum(F.col("chi2") - F.col("df")).alias("x"), F.sum(F.col("n") - 1).alias("n")).collect()
-    return {r.encoding: max(FLOOR, r.x / r.n) for r in rows}
+    return {r.encoding: max(least_excess(r.encoding), r.x / r.n) for r in rows}
 
 
 def cuts(scored: DataFrame) -> dict[tuple[int, int], int]:
@@ -160,7 +165,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     own = rows.select("*", base_places(F.col("text")).alias("base"))
     own = own.select("*", candidates(F.col("text"), F.col("base")).alias("candidates"))
     excess = excesses(own)
-    shares = F.array(*[F.lit(float(excess.get(e, FLOOR))) for e in range(len(ENCODINGS))])
+    shares = F.array(*[F.lit(float(excess.get(e, least_excess(e)))) for e in range(len(ENCODINGS))])
     scored = own.select("row", "text", "base", F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), c["band"].alias("band"), _score(c, F.element_at(shares, c["encoding"] + 1)).alias("bin"))).alias("candidates"))
     bars = cuts(scored)
     accept = lambda c: F.element_at(F.array(*[F.lit(bars.get((e, b), BINS + 1)) for e in range(len(ENCODINGS)) for b in range(8)]), c["encoding"] * 8 + c["band"] + 1) <= c["bin"]
