@@ -20,6 +20,8 @@ decision has probability one half and the base score is that of empty counts.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import fold, release, stored, table
 
 DEPTH = 5
-CONTEXTS = 1 << 15  #: most contexts of each depth over 2 that have a node
+CONTEXTS = 1 << 14  #: most contexts of each depth over 2 that have a node
 FREQUENT = 1 << 16  #: most tokens whose counts are broadcast; the rest is joined
 FLUSH_BYTES = 8_000_000
 _END = xxhash.xxh64_intdigest(b" ")  # no word holds a space
@@ -224,11 +226,22 @@ def _counts(depth: int):
     return run
 
 
-def _scores(model, frequent):
-    """Documents to a row each (kind 0) and one for each token that is not frequent (kind 1)."""
+_BUILT: dict[str, Model] = {}
+
+
+def _model(key: str, levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The model of these counts, built once a worker: the counts are a tenth of its tables."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Model(levels)
+    return _BUILT[key]
+
+
+def _scores(key, levels, frequent):
+    """Documents to a row each (``h`` null) and one for each token that is not frequent."""
 
     def run(batches):
-        own, (keys, logs) = model.value, frequent.value
+        own, (keys, logs) = _model(key, levels.value), frequent.value
         names = ["doc_id", "mark", "h", "n_tokens", "n_known", "base", "score", "n_bytes"]
 
         def made(ids, texts):
@@ -281,8 +294,8 @@ def _most(sizes: list, limit: int) -> int:
     return least
 
 
-def fit(counts: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> Model:
-    """The context tree of stored counts; at most ``contexts`` nodes at each depth over 2."""
+def fit(counts: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The counts that a ``Model`` is made of; at most ``contexts`` nodes at each depth over 2."""
     grams = counts.where("kind = 0")
     levels, least = [], 0
     for d in range(depth + 1):
@@ -294,13 +307,13 @@ def fit(counts: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> Mode
             keys = keys.join(totals.where(size >= least), F.shiftright("key", 8) == F.col("context"))
         found = keys.select("key", "n").toPandas().sort_values("key")
         levels.append((found["key"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64)))
-    return Model(levels)
+    return levels
 
 
 def score(docs: DataFrame, counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row."""
     spark = docs.sparkSession
-    model = fit(counts, depth)
+    levels = fit(counts, depth)
     tokens = counts.where("kind = 1")
     size = F.floor(F.log2("n")).cast("int")
     by_size = tokens.groupBy(size.alias("size")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # at most 64 rows
@@ -316,7 +329,7 @@ def score(docs: DataFrame, counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         frequent = (np.zeros(0, dtype=np.uint64), np.zeros(0))
     sc = spark.sparkContext
     schema = "doc_id long, mark long, h long, n_tokens long, n_known long, base double, score double, n_bytes long"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scores(sc.broadcast(model), sc.broadcast(frequent)), schema)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scores(uuid.uuid4().hex, sc.broadcast(levels), sc.broadcast(frequent)), schema)
     rest = tokens.where(size < least).select(F.col("key").alias("h"), "n")
     joined = rows.where("h IS NOT NULL").select("doc_id", "mark", "h").join(rest, "h").groupBy("doc_id", "mark").agg(F.count("*").alias("n_known"), F.sum(F.log10(F.col("n") + 1)).alias("base"))
     own = rows.where("h IS NULL")
