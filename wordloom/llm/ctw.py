@@ -33,7 +33,7 @@ from .common import fold, release, stored, table
 DEPTH = 5
 CONTEXTS = 1 << 14  #: most contexts of each depth over 2 that have a node
 FREQUENT = 1 << 16  #: most tokens whose counts are broadcast; the rest is joined
-FLUSH_BYTES = 8_000_000
+FLUSH_BYTES = 3_000_000
 _END = xxhash.xxh64_intdigest(b" ")  # no word holds a space
 _LG_HALF = 0.5723649429247001  # ln Gamma(1/2)
 
@@ -185,6 +185,9 @@ def _hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
+_BUILT: dict[str, Model] = {}
+
+
 def _grams(texts: list[bytes], depth: int) -> np.ndarray:
     """Keys ``context << 8 | byte`` of every byte and end; the newest context byte is the lowest."""
     data = np.frombuffer(b"".join(b"\0" * depth + t + b"\0" for t in texts), dtype=np.uint8)
@@ -212,6 +215,7 @@ def _counts(depth: int):
         yield from rows(1, *np.unique(np.concatenate([*map(_hashes, texts), np.full(len(texts), _END, dtype=np.uint64)]), return_counts=True))
 
     def run(batches):
+        _BUILT.clear()  # a worker that counts no longer needs the model before
         texts, total = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -226,9 +230,6 @@ def _counts(depth: int):
     return run
 
 
-_BUILT: dict[str, Model] = {}
-
-
 def _model(key: str, levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     """The model of these counts, built once a worker: the counts are a tenth of its tables."""
     if key not in _BUILT:
