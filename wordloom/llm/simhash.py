@@ -68,8 +68,8 @@ def plan(sample: np.ndarray, rows: int, radius: int = RADIUS) -> list[tuple[list
     """Partitions (bit positions) and thresholds that cost least for ``rows`` fingerprints.
 
     Cost of a partition at threshold t: its probes plus the candidates they meet, the latter from
-    the share of sample pairs within t on those bits (random pairs of the sample, and never less
-    than uniform bits would give).  Tried: 1 to radius + 2 partitions, thresholds by dynamic
+    the share of sample pairs within t on those bits (random pairs of the sample that are not near copies,
+    and never less than uniform bits would give).  Tried: 1 to radius + 2 partitions, thresholds by dynamic
     programming over the partitions.
     """
     bits = ((sample[:, None] >> _BITS[None, :]) & np.uint64(1)).astype(np.float64)
@@ -79,7 +79,7 @@ def plan(sample: np.ndarray, rows: int, radius: int = RADIUS) -> list[tuple[list
     near[np.ix_(spread > 0, spread > 0)] = np.nan_to_num(together)
     half = len(sample) // 2
     apart = sample[:half] ^ sample[half : 2 * half]
-    apart = apart[apart != 0]
+    apart = apart[np.bitwise_count(apart) > 4 * radius]  # nearer pairs are mostly links, whose large buckets stay linear
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for m in range(1, radius + 3):
         groups = _grouped(near, m)
