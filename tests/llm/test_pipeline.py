@@ -1,6 +1,8 @@
 import corpus_pipeline
 from wordloom.llm import decontaminate, simhash
 
+from test_resemblance import _components, _exact
+
 
 def test_stages_keep_clean_documents(spark):
     sf_dir = "/root/testdata/sf0.001"
@@ -18,8 +20,8 @@ def test_stages_keep_clean_documents(spark):
             assert before == left
         elif name == "SimHash near-dedup":
             fps = {i: simhash.fingerprint(texts[i]) for i in before}
-            for i in before - left:
-                assert any(j < i and (fps[i] ^ fps[j]).bit_count() <= 2 for j in before)
+            linked = [(i, j) for i in before for j in before if j < i and ((fps[i] ^ fps[j]).bit_count() <= 2 or _exact(texts[i], texts[j]) >= 0.8)]
+            assert left == set(_components(before, linked).values())
         elif name == "benchmark decontamination":
             assert before - left == {i for i in before if items.search(texts[i])}
         else:
