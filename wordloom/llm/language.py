@@ -34,7 +34,7 @@ from .common import fold, table
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 1500
 LEXICON = 4000  #: most words a language contributes to the lexicon
-STEP = 32
+STEP = 128
 UNKNOWN = "und"
 _STRIP = re.compile(r"[\W\d_]+")
 _CACHE = 400_000
@@ -60,19 +60,27 @@ def _messages(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, stop: np.n
     starts from uniform and does not look past its end, which a matrix with equal rows does.
     """
     n, k = emit.shape
-    step = STEP
-    rows = -(-n // step)
-    pad = rows * step - n
-    e = np.concatenate([emit, np.ones((pad, k))]).reshape(rows, step, k)
-    first = np.concatenate([start, np.ones(pad, bool)]).reshape(rows, step)
-    flat = np.full((k, k), 1.0 / k)
-    # M[t] = (trans or flat) * emission of t
-    hop = np.where(first[..., None, None], flat, trans)
-    m = hop * e[:, :, None, :]
-    product = m[:, 0]
-    for t in range(1, step):
-        product = product @ m[:, t]
-        product /= product.sum(axis=(1, 2), keepdims=True)
+    rows = -(-n // STEP)
+    pad = rows * STEP - n
+    # (step, label, stretch): every operation below runs along all stretches at once
+    e = np.ascontiguousarray(np.concatenate([emit, np.ones((pad, k))]).reshape(rows, STEP, k).transpose(1, 2, 0))
+    first = np.concatenate([start, np.ones(pad, bool)]).reshape(rows, STEP).T
+    cuts = [np.nonzero(f)[0] for f in first]
+
+    def forth(t, old):
+        """Messages ``old`` (label, ..., stretch) one transition on, before the emission of t."""
+        new = (trans.T @ old.reshape(k, -1)).reshape(old.shape)
+        if len(cuts[t]):
+            new[..., cuts[t]] = old[..., cuts[t]].sum(axis=0) / k
+        return new
+
+    product = np.repeat(np.eye(k)[:, :, None], rows, axis=2)  # (to, from, stretch)
+    for t in range(STEP):
+        product = forth(t, product) * e[t][:, None, :]
+        if t % 4 == 3:
+            product /= product.sum(axis=(0, 1))
+    product = np.ascontiguousarray(product.transpose(2, 1, 0))
+    product /= product.sum(axis=(1, 2), keepdims=True)
     alpha0, beta1 = np.empty((rows, k)), np.empty((rows, k))
     a, b = np.full(k, 1.0 / k), np.ones(k)
     for r in range(rows):
@@ -83,17 +91,20 @@ def _messages(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, stop: np.n
         beta1[r] = b
         b = product[r] @ b
         b /= b.sum()
-    alpha, beta = np.empty((rows, step, k)), np.empty((rows, step, k))
-    a, b = alpha0, beta1
-    for t in range(step):
-        a = np.einsum("ri,rij->rj", a, m[:, t])
-        a /= a.sum(axis=1, keepdims=True)
-        alpha[:, t] = a
-    for t in range(step - 1, -1, -1):
-        beta[:, t] = b
-        b = np.einsum("rij,rj->ri", m[:, t], b)
-        b /= b.sum(axis=1, keepdims=True)
-    return alpha.reshape(-1, k)[:n], beta.reshape(-1, k)[:n]
+    alpha, beta = np.empty((STEP, k, rows)), np.empty((STEP, k, rows))
+    a, b = alpha0.T, beta1.T
+    for t in range(STEP):
+        a = forth(t, a) * e[t]
+        a /= a.sum(axis=0)
+        alpha[t] = a
+    for t in range(STEP - 1, -1, -1):
+        beta[t] = b
+        old = b * e[t]
+        b = trans @ old
+        if len(cuts[t]):
+            b[:, cuts[t]] = old[:, cuts[t]].sum(axis=0) / k
+        b /= b.sum(axis=0)
+    return alpha.transpose(2, 0, 1).reshape(-1, k)[:n], beta.transpose(2, 0, 1).reshape(-1, k)[:n]
 
 
 def posteriors(scores: np.ndarray, trans: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -111,7 +122,8 @@ class Tagger:
     def __init__(self, langs: list[str], index: dict[str, int], weights: np.ndarray, trans: np.ndarray):
         self.langs, self.index, self.weights, self.trans = langs, index, weights, trans
         self._seen: dict[str, int] = {}
-        self._scores: list[np.ndarray] = []
+        self._cores = {"": 0}
+        self._scores = np.full((1, len(langs)), np.nan, dtype=np.float32)
 
     @classmethod
     def train(cls, texts: list[tuple[str, str]], rounds: int = 6, run: int = 24, length: int = 96, seed: int = 5) -> Tagger:
@@ -194,27 +206,31 @@ class Tagger:
 
     def _rows(self, tokens: list[str]) -> np.ndarray:
         """Emission scores of tokens; NaN for those without a letter.  Words seen before are kept."""
-        if len(self._seen) > _CACHE:
+        if len(self._seen) + len(self._cores) > _CACHE:
             self._seen.clear()
-            self._scores.clear()
-        seen, get, out, fresh = self._seen, self.index.get, np.empty(len(tokens), dtype=np.int64), []
+            self._cores = {"": 0}  # row 0: no letter
+        seen, cores, get = self._seen, self._cores, self.index.get
+        out, flat, sizes, have = np.empty(len(tokens), dtype=np.int64), [], [], len(cores)
         for i, token in enumerate(tokens):
             at = seen.get(token)
             if at is None:
-                at = seen[token] = len(self._scores) + len(fresh)
                 word = core(token)
-                fresh.append([j for j in map(get, features(word)) if j is not None] if word else None)
+                at = cores.get(word)
+                if at is None:
+                    at = cores[word] = len(cores)
+                    before = len(flat)
+                    flat += [j for j in map(get, features(word)) if j is not None]
+                    sizes.append(len(flat) - before)
+                seen[token] = at
             out[i] = at
-        if fresh:
-            sizes = np.array([len(f) if f else 0 for f in fresh])
-            flat = np.fromiter((j for f in fresh if f for j in f), dtype=np.int64, count=int(sizes.sum()))
-            rows = np.zeros((len(fresh), len(self.langs)), dtype=np.float32)
-            owner = np.repeat(np.arange(len(fresh)), sizes)
+        if sizes:
+            held = np.array(flat, dtype=np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            if len(cores) > len(self._scores):
+                self._scores = np.concatenate([self._scores[:have], np.empty((len(cores), len(self.langs)), dtype=np.float32)])
             for c in range(len(self.langs)):
-                rows[:, c] = np.bincount(owner, weights=self.weights[flat, c], minlength=len(fresh))
-            rows[[f is None for f in fresh]] = np.nan
-            self._scores.extend(rows)
-        return np.array([self._scores[i] for i in out], dtype=np.float32).reshape(len(tokens), len(self.langs))
+                self._scores[have : len(cores), c] = np.bincount(owner, weights=self.weights[held, c], minlength=len(sizes))
+        return self._scores[out]
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
