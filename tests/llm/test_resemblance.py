@@ -40,9 +40,10 @@ def test_components_match_brute_force(spark):
     sure = [(i, j) for i in range(len(texts)) for j in range(i) if _exact(texts[i], texts[j]) >= 0.84]
     may = [(i, j) for i in range(len(texts)) for j in range(i) if _exact(texts[i], texts[j]) >= 0.76]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, key string")
-    links = {(r.a, r.b) for r in resemblance.links(docs).collect()}
+    groups = simhash.near_duplicates(docs)
+    links = {(r.a, r.b) for r in resemblance.links(docs, groups).collect()}
     assert all(_exact(texts[a], texts[b]) >= (0.8 if len(texts[a].split()) < 1000 else 0.76) for a, b in links)
-    found = resemblance.merged(simhash.near_duplicates(docs), resemblance.links(docs))
+    found = resemblance.merged(groups, resemblance.links(docs, groups))
     got = {r.id: r.component_id for r in found.collect()}
     assert set(got) == set(range(len(texts)))
     low, high = _components(got, sure), _components(got, [*may, (0, 1)])
@@ -54,12 +55,14 @@ def test_large_group_costs_one_comparison_a_member(spark):
     rng = random.Random(4)
     base = [f"w{k}" for k in range(200)]
     docs = spark.createDataFrame([(i, " ".join(_edited(rng, base, 0.004))) for i in range(400)], "doc_id long, text string")
-    links = resemblance.links(docs)
-    assert links.count() <= 400 * resemblance.BANDS
-    found = resemblance.merged(simhash.near_duplicates(docs), links)
+    groups = simhash.near_duplicates(docs)
+    links = resemblance.links(docs, groups)
+    assert links.count() <= 400 * 3
+    found = resemblance.merged(groups, links)
     assert {r.component_id for r in found.collect()} == {0}
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert resemblance.merged(simhash.near_duplicates(docs), resemblance.links(docs)).count() == 0
+    groups = simhash.near_duplicates(docs)
+    assert resemblance.merged(groups, resemblance.links(docs, groups)).count() == 0

@@ -6,9 +6,10 @@ the two are found here: ``BANDS`` keys, each a hash of ``ROWS`` minima of the se
 orders, bring candidates together (a pair of similarity 0.8 shares a key with probability 0.999).
 
 A bucket never becomes pairs.  Its smallest id is the head and every member is compared with it;
-the smallest id that no head so far resembles is the next head, again for all members, until every
-member is a head or resembles one.  A bucket of m copies thus costs m comparisons.  A link between
-two members that each resemble another head can be missed in one bucket; they meet in others.
+the smallest ids that no head so far resembles are the next heads (1, 2, 4, ...), again for all members, until every
+member is a head or connected to one.  Pairs that links found so far connect are not compared, so a
+bucket of m copies costs about m comparisons.  A link between two members that are each connected
+to another head can be missed in one bucket; they meet in others.
 
 Comparison: the ``SKETCH`` smallest hashes of each set, which is the whole set (an exact
 similarity) for texts of up to that many different shingles and an estimate of standard error
@@ -21,16 +22,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, release, stored
 from .decontaminate import grams
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 SKETCH = 1024
+FIRST = 3  #: rounds in which a document is compared with one head only
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(11)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,8 +97,8 @@ def _compared(least: float):
     return run
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` between different texts, each named by its smallest id."""
+def links(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` that connect, with ``groups(id, component_id)``, all texts that resemble each other."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     keyed = stored(texts.mapInArrow(_keyed, "id long, same binary, bands array<long>"))
     nodes = keyed.groupBy("same").agg(F.min("id").alias("id"))
@@ -112,19 +114,44 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
         return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_compared(similarity), "a long, b long").distinct())
 
-    found, heads = None, members
-    entries = members.select("key", "id")
-    waiting = heads.where("id <> head")
+    def of(labels: DataFrame, side: str) -> DataFrame:
+        return labels.select(F.col("id").alias(side), F.col("component_id").alias(f"of_{side}"))
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs whose ends are not connected yet."""
+        return pairs.join(of(labels, "id"), "id").join(of(labels, "head"), "head").where("of_id <> of_head").drop("of_id", "of_head")
+
+    labels = stored(groups.select("id", "component_id").join(involved, "id", "left_semi").distinct())
+    found, entries = None, members.select("key", "id")
+    open_pairs = waiting = members.where("id <> head")
+    first, heads, following = FIRST, 1, None
     while True:
-        new = verified(heads.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+        pairs = open_pairs.select("id", "head").distinct()
+        if first:  # one head a document: most documents of a group of copies are connected by that
+            pairs = pairs.groupBy("id").agg(F.min("head").alias("head"))
+        new = verified(pairs.select(F.col("id").alias("a"), F.col("head").alias("b")))
         found = new if found is None else found.unionByName(new)
-        waiting = stored(waiting.where("id <> head").join(new.select(F.col("a").alias("id"), F.col("b").alias("head")), ["id", "head"], "left_anti"))
-        # members of a bucket that no head so far resembles: their smallest is its next head
-        following = waiting.groupBy("key").agg(F.min("id").alias("head"))
+        labels = stored(merged(labels, new))
+        release(docs.sparkSession)
+        if first:
+            first -= 1
+            open_pairs = stored(apart(open_pairs.join(pairs, ["id", "head"], "left_anti"), labels))
+            if not open_pairs.isEmpty():
+                continue
+            first = 0
+        if following is None:
+            waiting = apart(waiting, labels).drop("head")
+        else:
+            same = waiting.join(following, "key").join(of(labels, "id"), "id").join(of(labels, "head"), "head").where("of_id = of_head")
+            waiting = waiting.join(same.select("key", "id").distinct(), ["key", "id"], "left_anti")
+        waiting = stored(waiting)
+        # members of a bucket that no head so far resembles: the smallest are its next heads, twice as many each round
+        order = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        following = stored(waiting.withColumn("order", order).where(F.col("order") <= heads).select("key", F.col("id").alias("head")))
         if following.isEmpty():
             return found.distinct()
-        waiting = waiting.drop("head").join(following, "key")
-        heads = entries.join(following, "key")
+        heads *= 2
+        open_pairs = apart(entries.join(following, "key").where("id <> head").select(F.greatest("id", "head").alias("id"), F.least("id", "head").alias("head")).distinct(), labels)
 
 
 def merged(groups: DataFrame, near: DataFrame) -> DataFrame:
