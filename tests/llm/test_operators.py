@@ -339,6 +339,24 @@ def test_ctw_tables_are_distributions_and_weights_match_recursion():
     assert math.isclose((10.0 ** model.table[row].astype(np.float64))[:128].sum(), want, rel_tol=1e-5)
 
 
+def test_ctw_every_context_has_a_node(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh", k=300)) for _ in range(150)]  # 8**5 contexts: over 2**14
+    held = ["".join(rng.choices("abcdefghij", k=80)) for _ in range(10)] + [None, "é"]
+    keys, n = np.unique(ctw._grams([t.encode() for t in texts], ctw.DEPTH), return_counts=True)
+    levels = []
+    for d in range(ctw.DEPTH + 1):
+        own, at = np.unique(keys & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        levels.append((own, np.bincount(at, weights=n).astype(np.int64)))
+    assert len(np.unique(keys >> 8)) > 1 << 14
+    model = ctw.Model(levels)
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate([*texts[:10], *held])), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ctw.score(docs, ctw.learn(train)).collect()}
+    want = model.log10([(t or "").encode() for t in [*texts[:10], *held]])
+    assert len(got) == len(want) and all(math.isclose(got[i], w, rel_tol=1e-4) for i, w in enumerate(want))
+
+
 def test_decontamination_finds_edited_copies(spark, empty):
     rng = random.Random(6)
     vocab = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(400)]

@@ -3,12 +3,15 @@
 Model: every byte is eight binary decisions (a heap of 255 prefixes).  Each decision has a
 Krichevsky-Trofimov estimate under the contexts of 0 to ``DEPTH`` preceding bytes, and the weighting
 recursion ``P_w(s) = KT(s) / 2 + prod P_w(children) / 2`` gives, in one pass over the counts, how
-much of the mixture each depth gets at every decision.  A context without a node takes no part in
-the mixture.  Counts come from all training documents.  All contexts of up to two bytes have nodes
-(at most 2**16 + 257); of three bytes and more the most frequent have, at most ``CONTEXTS`` at each
-depth, the rest of a parent's children being one child in the recursion.  That bounds the model,
-and so its broadcast, whatever the corpus.  The score is the sum of log10 probabilities of a text's
-bytes and of its end.
+much of the mixture each depth gets at every decision.  A context that no training text holds takes
+no part in the mixture.  Counts come from all training documents, and every context they hold has
+its node, so the model grows with the corpus.  The score is the sum of log10 probabilities of a
+text's bytes and of its end.
+
+No task holds the model.  Contexts are dealt to buckets by their newest three bytes, so the tree
+below depth 2 falls apart into whole subtrees; only the tree down to depth 2 (at most 2**16 + 257
+contexts) is gathered and broadcast.  A byte's probability depends on it and the five bytes before:
+a batch of documents asks each bucket once for its different six-byte keys, and gets a number each.
 
 Base: add-one unigrams over tokens (words with A-Z lowered and one end token a document), counted
 over all training documents.  Tokens are named by a 64-bit hash.  The most frequent ones (at most
@@ -20,18 +23,20 @@ decision has probability one half and the base score is that of empty counts.
 
 from __future__ import annotations
 
-import uuid
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, release, stored, table
+from .common import fold, partitions, release, stored, table
 
 DEPTH = 5
-CONTEXTS = 1 << 14  #: most contexts of each depth over 2 that have a node
+TOP = 2  #: depth down to which the tree is broadcast; all below is dealt to buckets
+PER_BUCKET = 1 << 14  #: about so many six-byte keys a bucket
 FREQUENT = 1 << 16  #: most tokens whose counts are broadcast; the rest is joined
 FLUSH_BYTES = 3_000_000
 _END = xxhash.xxh64_intdigest(b" ")  # no word holds a space
@@ -79,7 +84,7 @@ def _log10(one: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Predictive tables of a pruned context tree.
+    """Predictive tables of a context tree that fits in memory, the dense form of ``Tree``.
 
     ``levels``: for depth 0 to D, ``(keys, counts)`` of ``context << 8 | byte`` for the contexts that
     have a node; a context's lowest byte is the newest, so a child's key extends its parent's above.
@@ -185,9 +190,6 @@ def _hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-_BUILT: dict[str, Model] = {}
-
-
 def _grams(texts: list[bytes], depth: int) -> np.ndarray:
     """Keys ``context << 8 | byte`` of every byte and end; the newest context byte is the lowest."""
     data = np.frombuffer(b"".join(b"\0" * depth + t + b"\0" for t in texts), dtype=np.uint8)
@@ -215,7 +217,6 @@ def _counts(depth: int):
         yield from rows(1, *np.unique(np.concatenate([*map(_hashes, texts), np.full(len(texts), _END, dtype=np.uint64)]), return_counts=True))
 
     def run(batches):
-        _BUILT.clear()  # a worker that counts no longer needs the model before
         texts, total = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -230,59 +231,214 @@ def _counts(depth: int):
     return run
 
 
-def _model(key: str, levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model of these counts, built once a worker: the counts are a tenth of its tables."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Model(levels)
-    return _BUILT[key]
+def _split(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted ``context << 8 | byte`` to ``(context and first k bits, zeros, ones)`` for k from 0 to 7."""
+    out = []
+    for k in range(8):
+        decisions = keys >> (8 - k)
+        first = np.flatnonzero(np.concatenate([[True], decisions[1:] != decisions[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        ones = np.add.reduceat(np.where(keys >> (7 - k) & 1, counts, 0.0), first) if len(keys) else np.zeros(0)
+        both = np.add.reduceat(counts, first) if len(keys) else np.zeros(0)
+        out.append((decisions[first], both - ones, ones))
+    return out
+
+
+def _gathered(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(keys, return_inverse=True)
+    return own, np.bincount(at, weights=counts, minlength=len(own))
+
+
+class Tree:
+    """The decisions of depths ``low`` to ``high`` that occur, each with its counts and what it keeps.
+
+    ``keys, counts``: ``context << 8 | byte`` at depth ``high``.  ``below``: for each of the eight
+    bits of a byte ``(decisions, log weights)`` of depth ``high``'s children, summed; None at ``DEPTH``.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int, high: int, below=None):
+        half = np.log(0.5)
+        self.depths, counts = [], counts.astype(np.float64)
+        for d in range(high, low - 1, -1):
+            keys, counts = _gathered(keys & ((1 << 8 * (d + 1)) - 1), counts)
+            steps, up = [], []
+            for k, (decisions, zeros, ones) in enumerate(_split(keys, counts)):
+                own = _log_kt(zeros, ones)
+                weighted, keep = own, np.ones(len(own))
+                if below is not None:
+                    at = np.searchsorted(decisions, below[k][0])
+                    weighted = np.logaddexp(half + own, half + np.bincount(at, weights=below[k][1], minlength=len(own)))
+                    keep = np.exp(half + own - weighted)
+                steps.append((decisions, (ones + 0.5) / (zeros + ones + 1), keep))
+                up.append((decisions & ((1 << 8 * max(d - 1, 0) + k) - 1), weighted))
+            self.depths.append((d, steps))
+            below = up
+        self.depths.reverse()
+        self.up = below  #: by bit, the decision one depth above ``low`` and the log weight that it gets
+
+    def _at(self, keys: np.ndarray, k: int, given: np.ndarray, left: np.ndarray, mixed: np.ndarray):
+        for d, steps in self.depths:
+            decisions, one, keep = steps[k]
+            if len(decisions):
+                want = keys >> (8 - k) & ((1 << 8 * d + k) - 1)
+                at = np.minimum(np.searchsorted(decisions, want), len(decisions) - 1)
+                mixed = np.where(decisions[at] == want, given + left * one[at], mixed)
+                given, left = given + left * keep[at] * one[at], left * (1 - keep[at])
+        return given, left, mixed
+
+    def log10(self, keys: np.ndarray, top: Tree) -> np.ndarray:
+        """log10 probability of each key's byte after its context; ``top`` is the tree above this one."""
+        out = np.zeros(len(keys))
+        for k in range(8):
+            state = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
+            one = self._at(keys, k, *top._at(keys, k, *state))[2]
+            out += np.log10(np.where(keys >> (7 - k) & 1, one, 1 - one))
+        return out
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a context's newest three bytes (``_bucket_of`` in Spark)."""
+    return ((keys >> 8 & 0xFFFFFF) * 2654435761 & 0xFFFFFFFF) >> 12 & (buckets - 1)
+
+
+def _bucket_of(key: Column, buckets: int) -> Column:
+    mixed = (F.shiftright(key, 8).bitwiseAND(F.lit(0xFFFFFF)) * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftright(mixed, 12).bitwiseAND(F.lit(buckets - 1))
+
+
+def _runs(batch: pa.RecordBatch):
+    """Slices of a sorted batch with one bucket and either counts or questions only."""
+    bucket, asks = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (asks[1:] != asks[:-1])) + 1
+    for a, b in pairwise([0, *cuts.tolist(), len(bucket)]):
+        if b > a:
+            yield int(bucket[a]), bool(asks[a]), batch.slice(a, b - a)
+
+
+def _subtree(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, Tree]:
+    keys = np.concatenate([np.zeros(0, dtype=np.int64), *(p.column(1).to_numpy() for p in parts)])
+    counts = np.concatenate([np.zeros(0), *(p.column(2).to_numpy() for p in parts)])
+    order = np.argsort(keys)
+    return keys[order], Tree(keys[order], counts[order], TOP + 1, DEPTH)
+
+
+def _risen(batches):
+    """Counts by bucket to what depth ``TOP`` needs of it: log weights by bit, and (bit 8) its counts."""
 
+    def rows(parts):
+        keys, tree = _subtree(parts)
+        counts = np.concatenate([p.column(2).to_numpy() for p in parts])[np.argsort(np.concatenate([p.column(1).to_numpy() for p in parts]))]
+        for k, (at, weight) in enumerate([*tree.up, (keys & ((1 << 8 * (TOP + 1)) - 1), counts)]):
+            own, weight = _gathered(at, weight)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, dtype=np.int8)), pa.array(own), pa.array(weight)], names=["bit", "at", "weight"])
 
-def _scores(key, levels, frequent):
-    """Documents to a row each (``h`` null) and one for each token that is not frequent."""
+    now, parts = None, []
+    for batch in batches:
+        for bucket, _, part in _runs(batch):
+            if bucket != now and parts:
+                yield from rows(parts)
+                parts = []
+            now = bucket
+            parts.append(part)
+    if parts:
+        yield from rows(parts)
+
+
+def _asked(buckets: int):
+    """Documents to batches: the different keys of a batch by bucket, and its texts."""
 
     def run(batches):
-        own, (keys, logs) = _model(key, levels.value), frequent.value
-        names = ["doc_id", "mark", "h", "n_tokens", "n_known", "base", "score", "n_bytes"]
+        number = TaskContext.get().partitionId() << 32
+        names = ["batch", "bucket", "keys", "doc_id", "text"]
 
         def made(ids, texts):
-            score = own.log10(texts)
-            hashes = [np.append(_hashes(t), np.uint64(_END)) for t in texts]
-            many = np.array([len(h) for h in hashes])
-            doc = np.repeat(np.arange(len(texts)), many)
-            h = np.concatenate(hashes)
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
-            base = np.bincount(doc, weights=np.where(hit, logs[at] if len(keys) else 0.0, 0.0), minlength=len(texts))
-            known = np.bincount(doc, weights=hit, minlength=len(texts)).astype(np.int64)
-            mark = np.array([xxhash.xxh64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(mark), pa.nulls(n, pa.int64()), pa.array(many.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), pa.array(np.array([len(t) for t in texts], dtype=np.int64))], names=names)
-            rest = np.nonzero(~hit)[0]
-            ids = pa.array(ids, pa.int64())
-            for k in range(0, len(rest), 1 << 16):
-                part = rest[k : k + (1 << 16)]
-                nulls = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[part])), pa.array(mark[doc[part]]), pa.array(h[part].view(np.int64)), *nulls], names=names)
-
+            keys = np.unique(_grams(texts, DEPTH))
+            of = _bucket(keys, buckets)
+            order = np.argsort(of, kind="stable")
+            keys, of = keys[order], of[order]
+            cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            blobs = [keys[a:b].tobytes() for a, b in pairwise([*cuts.tolist(), len(keys)])]
+            many, n = len(blobs), len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(many, number)), pa.array(of[cuts]), pa.array(blobs, pa.binary()), pa.nulls(many, pa.int64()), pa.nulls(many, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=names)
+
+        ids, texts, total = [], [], 0
         for batch in batches:
-            ids, texts, total = [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(doc)
                 texts.append((text or "").encode())
                 total += len(texts[-1])
                 if total >= FLUSH_BYTES:
                     yield from made(ids, texts)
+                    number += 1
                     ids, texts, total = [], [], 0
-            if ids:
-                yield from made(ids, texts)
+        if ids:
+            yield from made(ids, texts)
+
+    return run
+
+
+def _answered(top):
+    """Rows sorted by bucket, its counts before its questions, to the log10 probabilities asked for."""
+
+    def run(batches):
+        now, parts, tree = None, [], None
+        for batch in batches:
+            for bucket, asks, part in _runs(batch):
+                if bucket != now:
+                    now, parts, tree = bucket, [], None
+                if not asks:
+                    parts.append(part)
+                    continue
+                if tree is None:
+                    known, tree = _subtree(parts)
+                    logs, parts = tree.log10(known, top.value), []
+                out = []
+                for blob in part.column(4).to_pylist():
+                    keys = np.frombuffer(blob, dtype=np.int64)
+                    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                    new = known[at] != keys if len(known) else np.ones(len(keys), dtype=bool)
+                    answer = logs[at] if len(known) else np.zeros(len(keys))
+                    answer[new] = tree.log10(keys[new], top.value)
+                    out.append(answer.astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(3), part.column(0), pa.array(out, pa.binary())], names=["batch", "bucket", "logs"])
 
     return run
 
 
-def learn(train: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _scores(buckets, frequent):
+    """A batch's documents and answers to a row a document (``h`` null) and one for each token that is not frequent."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, logs = frequent.value
+        names = ["doc_id", "mark", "h", "n_tokens", "n_known", "base", "score", "n_bytes"]
+        ids, texts = docs.column("doc_id").combine_chunks(), docs.column("text").to_pylist()
+        asked, place = np.unique(_grams(texts, DEPTH), return_inverse=True)
+        order = np.argsort(_bucket(asked, buckets), kind="stable")
+        each = np.empty(len(asked))
+        each[order] = np.frombuffer(b"".join(answers.sort_by("bucket").column("logs").to_pylist()), dtype=np.float32)
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        score = np.add.reduceat(each[place], np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]))
+        hashes = [np.append(_hashes(t), np.uint64(_END)) for t in texts]
+        many = np.array([len(h) for h in hashes])
+        doc = np.repeat(np.arange(len(texts)), many)
+        h = np.concatenate(hashes)
+        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+        hit = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
+        base = np.bincount(doc, weights=np.where(hit, logs[at] if len(keys) else 0.0, 0.0), minlength=len(texts))
+        known = np.bincount(doc, weights=hit, minlength=len(texts)).astype(np.int64)
+        mark = np.array([xxhash.xxh64_intdigest(t) for t in texts], dtype=np.uint64).view(np.int64)
+        own = pa.Table.from_arrays([ids, pa.array(mark), pa.nulls(len(texts), pa.int64()), pa.array(many.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), pa.array(lengths)], names=names)
+        rest = np.nonzero(~hit)[0]
+        nulls = [pa.nulls(len(rest), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+        more = pa.Table.from_arrays([ids.take(pa.array(doc[rest])), pa.array(mark[doc[rest]]), pa.array(h[rest].view(np.int64)), *nulls], names=names)
+        return pa.concat_tables([own, more])
+
+    return run
+
+
+def learn(train: DataFrame) -> DataFrame:
     """``(kind, key, n)`` over all rows of ``train(text)``, stored in the shared folder."""
-    return stored(train.select(F.col("text").cast("string")).mapInArrow(_counts(depth), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    return stored(train.select(F.col("text").cast("string")).mapInArrow(_counts(DEPTH), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
 def _most(sizes: list, limit: int) -> int:
@@ -295,26 +451,23 @@ def _most(sizes: list, limit: int) -> int:
     return least
 
 
-def fit(counts: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The counts that a ``Model`` is made of; at most ``contexts`` nodes at each depth over 2."""
-    grams = counts.where("kind = 0")
-    levels, least = [], 0
-    for d in range(depth + 1):
-        keys = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if d > 2:
-            totals = keys.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"))
-            size = F.floor(F.log2("total")).cast("int")
-            least = max(least, _most(totals.groupBy(size.alias("size")).agg(F.count("*").alias("v")).collect(), contexts))
-            keys = keys.join(totals.where(size >= least), F.shiftright("key", 8) == F.col("context"))
-        found = keys.select("key", "n").toPandas().sort_values("key")
-        levels.append((found["key"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64)))
-    return levels
-
-
-def score(docs: DataFrame, counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _risen_top(dealt: DataFrame) -> Tree:
+    """The tree down to depth ``TOP``, from the counts by bucket."""
+    risen = dealt.mapInArrow(_risen, "bit byte, at long, weight double").groupBy("bit", "at").agg(F.sum("weight").alias("weight")).toPandas().sort_values(["bit", "at"])
+    by_bit = [(own["at"].to_numpy(dtype=np.int64), own["weight"].to_numpy(dtype=np.float64)) for own in (risen[risen["bit"] == k] for k in range(9))]
+    return Tree(*by_bit[8], 0, TOP, by_bit[:8])
+
+
+def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row."""
     spark = docs.sparkSession
-    levels = fit(counts, depth)
+    grams = counts.where("kind = 0")
+    n_grams = grams.count()
+    buckets = 1 << max(8, (n_grams // PER_BUCKET).bit_length())
+    width = partitions(spark, n_grams, 1 << 18)
+    nothing = lambda t: F.lit(None).cast(t)
+    known = grams.select(_bucket_of(F.col("key"), buckets).alias("bucket"), "key", "n", nothing("long").alias("batch"), nothing("binary").alias("keys"))
+    upper = _risen_top(known.repartition(width, "bucket").sortWithinPartitions("bucket"))
     tokens = counts.where("kind = 1")
     size = F.floor(F.log2("n")).cast("int")
     by_size = tokens.groupBy(size.alias("size")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # at most 64 rows
@@ -329,8 +482,15 @@ def score(docs: DataFrame, counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     else:
         frequent = (np.zeros(0, dtype=np.uint64), np.zeros(0))
     sc = spark.sparkContext
+    asked = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_asked(buckets), "batch long, bucket long, keys binary, doc_id long, text binary"))
+    release(spark)
+    questions = asked.where("bucket IS NOT NULL").select("bucket", nothing("long").alias("key"), nothing("long").alias("n"), "batch", "keys")
+    dealt = known.union(questions).repartition(width, "bucket").sortWithinPartitions("bucket", F.col("batch").asc_nulls_first())
+    answers = dealt.mapInArrow(_answered(sc.broadcast(upper)), "batch long, bucket long, logs binary")
+    texts = asked.where("bucket IS NULL").select("batch", "doc_id", "text")
     schema = "doc_id long, mark long, h long, n_tokens long, n_known long, base double, score double, n_bytes long"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scores(uuid.uuid4().hex, sc.broadcast(levels), sc.broadcast(frequent)), schema)
+    rows = stored(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scores(buckets, sc.broadcast(frequent)), schema))
+    release(spark)
     rest = tokens.where(size < least).select(F.col("key").alias("h"), "n")
     joined = rows.where("h IS NOT NULL").select("doc_id", "mark", "h").join(rest, "h").groupBy("doc_id", "mark").agg(F.count("*").alias("n_known"), F.sum(F.log10(F.col("n") + 1)).alias("base"))
     own = rows.where("h IS NULL")
