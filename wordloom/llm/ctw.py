@@ -23,6 +23,7 @@ decision has probability one half and the base score is that of empty counts.
 
 from __future__ import annotations
 
+import zlib
 from itertools import pairwise
 
 import numpy as np
@@ -305,6 +306,18 @@ def _bucket_of(key: Column, buckets: int) -> Column:
     return F.shiftright(mixed, 12).bitwiseAND(F.lit(buckets - 1))
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys of six bytes by byte position: sorted keys are nearly constant in the first."""
+    return zlib.compress(keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, 5::-1].T.tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, 5::-1] = planes.T
+    return out.view("<i8").ravel()
+
+
 def _runs(batch: pa.RecordBatch):
     """Slices of a sorted batch with one bucket and either counts or questions only."""
     bucket, asks = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
@@ -348,7 +361,7 @@ def _asked(buckets: int):
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        names = ["batch", "bucket", "keys", "doc_id", "text"]
+        names = ["batch", "bucket", "blob", "ids", "sizes"]
 
         def made(ids, texts):
             keys = np.unique(_grams(texts, DEPTH))
@@ -356,10 +369,11 @@ def _asked(buckets: int):
             order = np.argsort(of, kind="stable")
             keys, of = keys[order], of[order]
             cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            blobs = [keys[a:b].tobytes() for a, b in pairwise([*cuts.tolist(), len(keys)])]
-            many, n = len(blobs), len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(many, number)), pa.array(of[cuts]), pa.array(blobs, pa.binary()), pa.nulls(many, pa.int64()), pa.nulls(many, pa.binary())], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=names)
+            blobs = [_packed(keys[a:b]) for a, b in pairwise([*cuts.tolist(), len(keys)])]
+            many, longs = len(blobs), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(many, number)), pa.array(of[cuts]), pa.array(blobs, pa.binary()), pa.nulls(many, longs), pa.nulls(many, longs)], names=names)
+            text = zlib.compress(b"".join(texts), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.array([text], pa.binary()), pa.array([ids], longs), pa.array([[len(t) for t in texts]], longs)], names=names)
 
         ids, texts, total = [], [], 0
         for batch in batches:
@@ -394,7 +408,7 @@ def _answered(top):
                     logs, parts = tree.log10(known, top.value), []
                 out = []
                 for blob in part.column(4).to_pylist():
-                    keys = np.frombuffer(blob, dtype=np.int64)
+                    keys = _unpacked(blob)
                     at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
                     new = known[at] != keys if len(known) else np.ones(len(keys), dtype=bool)
                     answer = logs[at] if len(known) else np.zeros(len(keys))
@@ -411,7 +425,9 @@ def _scores(buckets, frequent):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         keys, logs = frequent.value
         names = ["doc_id", "mark", "h", "n_tokens", "n_known", "base", "score", "n_bytes"]
-        ids, texts = docs.column("doc_id").combine_chunks(), docs.column("text").to_pylist()
+        (row,) = docs.to_pylist()
+        ids, text = pa.array(row["ids"], pa.int64()), zlib.decompress(row["blob"])
+        texts = [text[a:b] for a, b in pairwise([0, *np.cumsum(row["sizes"]).tolist()])]
         asked, place = np.unique(_grams(texts, DEPTH), return_inverse=True)
         order = np.argsort(_bucket(asked, buckets), kind="stable")
         each = np.empty(len(asked))
@@ -461,12 +477,13 @@ def _risen_top(dealt: DataFrame) -> Tree:
 def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row."""
     spark = docs.sparkSession
+    release(spark)
     grams = counts.where("kind = 0")
     n_grams = grams.count()
     buckets = 1 << max(8, (n_grams // PER_BUCKET).bit_length())
     width = partitions(spark, n_grams, 1 << 18)
     nothing = lambda t: F.lit(None).cast(t)
-    known = grams.select(_bucket_of(F.col("key"), buckets).alias("bucket"), "key", "n", nothing("long").alias("batch"), nothing("binary").alias("keys"))
+    known = grams.select(_bucket_of(F.col("key"), buckets).alias("bucket"), "key", "n", nothing("long").alias("batch"), nothing("binary").alias("blob"))
     upper = _risen_top(known.repartition(width, "bucket").sortWithinPartitions("bucket"))
     tokens = counts.where("kind = 1")
     size = F.floor(F.log2("n")).cast("int")
@@ -482,12 +499,12 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
     else:
         frequent = (np.zeros(0, dtype=np.uint64), np.zeros(0))
     sc = spark.sparkContext
-    asked = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_asked(buckets), "batch long, bucket long, keys binary, doc_id long, text binary"))
+    asked = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_asked(buckets), "batch long, bucket long, blob binary, ids array<long>, sizes array<long>"))
     release(spark)
-    questions = asked.where("bucket IS NOT NULL").select("bucket", nothing("long").alias("key"), nothing("long").alias("n"), "batch", "keys")
+    questions = asked.where("bucket IS NOT NULL").select("bucket", nothing("long").alias("key"), nothing("long").alias("n"), "batch", "blob")
     dealt = known.union(questions).repartition(width, "bucket").sortWithinPartitions("bucket", F.col("batch").asc_nulls_first())
     answers = dealt.mapInArrow(_answered(sc.broadcast(upper)), "batch long, bucket long, logs binary")
-    texts = asked.where("bucket IS NULL").select("batch", "doc_id", "text")
+    texts = asked.where("bucket IS NULL").select("batch", "blob", "ids", "sizes")
     schema = "doc_id long, mark long, h long, n_tokens long, n_known long, base double, score double, n_bytes long"
     rows = stored(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scores(buckets, sc.broadcast(frequent)), schema))
     release(spark)
