@@ -51,6 +51,25 @@ def test_components_match_brute_force(spark):
     assert all(high[i] == high[c] for i, c in got.items()) and all(c <= low[i] for i, c in got.items())
 
 
+def test_long_texts_are_compared_whole(spark):
+    rng = random.Random(9)
+    texts, want = [], set()
+    for n, target in [(2000 + 300 * k, 0.788 + 0.004 * k) for k in range(7)] * 2:
+        base = [f"w{rng.random()}" for _ in range(n)]
+        changed, at = list(base), list(range(2, n, 7))
+        rng.shuffle(at)
+        while _exact(" ".join(base), " ".join(changed)) > target:
+            for _ in range(5):
+                changed[at.pop()] = f"x{rng.random()}"
+        texts += [" ".join(base), " ".join(changed)]
+        if _exact(*texts[-2:]) >= 0.8:
+            want.add((len(texts) - 1, len(texts) - 2))
+    assert 2 <= len(want) < len(texts) // 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(max(r.a, r.b), min(r.a, r.b)) for r in resemblance.links(docs, simhash.near_duplicates(docs)).collect()}
+    assert got == want
+
+
 def test_large_group_costs_one_comparison_a_member(spark):
     rng = random.Random(4)
     base = [f"w{k}" for k in range(200)]

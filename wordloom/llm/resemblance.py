@@ -11,9 +11,7 @@ member is a head or connected to one.  Pairs that links found so far connect are
 bucket of m copies costs about m comparisons.  A link between two members that are each connected
 to another head can be missed in one bucket; they meet in others.
 
-Comparison: the ``SKETCH`` smallest hashes of each set, which is the whole set (an exact
-similarity) for texts of up to that many different shingles and an estimate of standard error
-0.0125 beyond.  Equal texts are one node (smallest id).  Texts without a word and rows without an
+Comparison: the whole sets, so the similarity is exact whatever the length.  Equal texts are one node (smallest id).  Texts without a word and rows without an
 id have no links.  Rows that share an id count as one node with the links of each.
 """
 
@@ -31,7 +29,6 @@ from .decontaminate import grams
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
-SKETCH = 1024
 FIRST = 3  #: rounds in which a document is compared with one head only
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(11)
@@ -59,12 +56,9 @@ def keys(own: np.ndarray) -> np.ndarray:
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets from their sorted smallest hashes; exact if both are whole."""
-    both = np.intersect1d(a, b, assume_unique=True)
-    if len(a) < SKETCH and len(b) < SKETCH:
-        return len(both) / max(1, len(a) + len(b) - len(both))
-    union = np.union1d(a, b)[:SKETCH]
-    return int(np.searchsorted(both, union[-1], side="right")) / len(union)
+    """Similarity of two sets of sorted hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -82,10 +76,10 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "same", "bands"])
 
 
-def _sketched(batches):
+def _whole(batches):
     for batch in batches:
-        own = [shingles(_words(t))[:SKETCH].tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "sketch"])
+        own = [shingles(_words(t)).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "own"])
 
 
 def _compared(least: float):
@@ -107,11 +101,11 @@ def links(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col:
     shared = entries.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(entries.join(shared, "key"))
     involved = members.select("id").distinct()
-    sketches = stored(texts.join(involved, "id", "left_semi").mapInArrow(_sketched, "id long, sketch binary"))
+    sets = stored(texts.join(involved, "id", "left_semi").mapInArrow(_whole, "id long, own binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-        right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+        left = sets.select(F.col("id").alias("a"), F.col("own").alias("sa"))
+        right = sets.select(F.col("id").alias("b"), F.col("own").alias("sb"))
         return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_compared(similarity), "a long, b long").distinct())
 
     def of(labels: DataFrame, side: str) -> DataFrame:
