@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as T
 from wordloom.functions import timing
 from wordloom.operators import fillers, intervals, islands, repeats, scoring, signal, timeline
+from wordloom.plans import catalogue
 
 
 def one(spark, column):
@@ -140,3 +141,10 @@ def test_confusion_edge_cases(spark):
     assert (row.precision, row.recall) == (1.0, 1.0)
     row = scoring.confusion(spark.createDataFrame([(False, True, 1), (False, True, 1)], schema)).first()
     assert (row.precision, row.recall, row.f1, row.false_cut_units) == (0.0, 0.0, 0.0, 1)
+
+
+def test_script_lines_are_sentences_of_an_item(spark, tmp_path):
+    spark.createDataFrame([(1, "Well. Is this - it? Yes, it is."), (2, "Yes it is! No.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Is this - it? Yes it is. Never said."), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.item_id, r.line): r.n_sources for r in catalogue.script_missing(spark, str(tmp_path)).collect()}
+    assert got == {(7, 0): 1, (7, 1): 2, (7, 2): 0, (8, None): 0}

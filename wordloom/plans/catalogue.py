@@ -350,11 +350,12 @@ def fuzzy_ratio(spark, sf_dir):
 @query(f"""WITH {WORDS_SQL}, sn AS (SELECT source, sent, string_agg(norm, ' ' ORDER BY i) AS s FROM words GROUP BY source, sent), bt AS (SELECT item_id, regexp_replace(lower(text), '\\p{{P}}', '', 'g') AS t FROM benchmark)
 SELECT bt.item_id, count(DISTINCT sn.source) AS n_sources FROM bt LEFT JOIN sn ON sn.s = regexp_replace(bt.t, '\\s+', ' ', 'g') GROUP BY bt.item_id""")
 def script_missing(spark, sf_dir):
-    """How many documents say each script line as one sentence (0: missing)."""
+    """How many documents say each script line, a sentence of an item, as one sentence (0: missing)."""
     w = words(spark, sf_dir)
     said = w.groupBy("source", "sent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "norm"))), lambda x: x["norm"]), " ").alias("s"))
-    lines = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(T.normal(F.col("text")), r"\s+", " ").alias("s"))
-    return lines.join(said, "s", "left").groupBy("item_id").agg(F.count_distinct("source").alias("n_sources"))
+    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("line", "text"))
+    lines = lines.select("item_id", "line", F.array_join(F.transform(F.split("text", r"\s+"), T.normal), " ").alias("s"))
+    return lines.join(said, "s", "left").groupBy("item_id", "line").agg(F.count_distinct("source").alias("n_sources"))
 
 
 @query("""SELECT d.doc_id, d.source AS unit, d.n_chars >= 500 AS predicted, l.quality = 1 AS gold FROM documents d JOIN labels l ON l.doc_id = d.doc_id""")
