@@ -148,3 +148,11 @@ def test_script_lines_are_sentences_of_an_item(spark, tmp_path):
     spark.createDataFrame([(7, "Is this - it? Yes it is. Never said."), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r.item_id, r.line): r.n_sources for r in catalogue.script_missing(spark, str(tmp_path)).collect()}
     assert got == {(7, 0): 1, (7, 1): 2, (7, 2): 0, (8, None): 0}
+
+
+def test_a_turn_that_restarts_the_turn_before(spark, tmp_path):
+    filler = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, 1, f"so the tool builds pages {filler} so"), (1, 2, "so the tool builds pages quickly"), (1, 3, "quickly now")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.next_source: (r.n_tail, r.nearest) for r in catalogue.cross_source_repeat(spark, str(tmp_path)).collect()}
+    assert got == {2: (106, 0), 3: (6, None)}

@@ -35,6 +35,13 @@ def candidates(words: DataFrame, window: int = WINDOW, least: int = LEAST, misse
         part = left.join(right, ["project", "source", "_key"]).where("j < i").where(F.col("start") - F.col("start_j") <= lookback_ms)
         part = part if at == 1 else part.where(F.element_at("run_j", 1) != F.element_at("run", 1))
         met = part if met is None else met.unionByName(part)
+    good = accepted(met, least, misses)
+    best = F.max_by(F.struct("matches", "mismatches"), "j")
+    return good.groupBy("project", "source", "i").agg(F.max("j").alias("j"), best.alias("m")).select("project", "source", "i", "j", "m.matches", "m.mismatches")
+
+
+def accepted(met: DataFrame, least: int = LEAST, misses: int = MISSES) -> DataFrame:
+    """The pairs ``i, j, run, run_j`` whose runs match acceptably, with ``matches`` and ``mismatches``."""
     # three matches with no two misses in a row show within the first four words
     c = [F.coalesce(F.try_element_at("run_j", F.lit(k)) == F.try_element_at("run", F.lit(k)), F.lit(False)) for k in (1, 2, 3, 4)]
     met = met.where((c[0] & (c[1] | c[2])) | (c[1] & (c[2] | c[3])))
@@ -44,9 +51,7 @@ def candidates(words: DataFrame, window: int = WINDOW, least: int = LEAST, misse
     # a miss is tolerated only right before a match, and only so many times; the run ends at any other
     met = met.withColumn("head", F.regexp_extract("marks", "^[12]*(?:0[12]+){0," + str(misses) + "}", 0))
     met = met.withColumn("mismatches", F.length(F.regexp_replace("head", "[12]", ""))).withColumn("matches", F.length("head") - F.col("mismatches"))
-    good = met.where((F.col("matches") >= least) & ((F.col("matches") >= 5) | F.col("head").contains("2")))
-    best = F.max_by(F.struct("matches", "mismatches"), "j")
-    return good.groupBy("project", "source", "i").agg(F.max("j").alias("j"), best.alias("m")).select("project", "source", "i", "j", "m.matches", "m.mismatches")
+    return met.where((F.col("matches") >= least) & ((F.col("matches") >= 5) | F.col("head").contains("2")))
 
 
 def guarded(found: DataFrame, words: DataFrame) -> DataFrame:

@@ -321,13 +321,15 @@ def guard_cascade(spark, sf_dir):
 p AS (SELECT *, lead(source) OVER (PARTITION BY project ORDER BY source) AS next_source, lead(first_i) OVER (PARTITION BY project ORDER BY source) AS next_i FROM b)
 SELECT p.project, p.source, p.next_source, p.next_i AS i, count(*) AS n_tail, max(t.i) FILTER (t.norm = f.norm) AS nearest FROM p JOIN talk f ON f.project = p.project AND f.i = p.next_i JOIN talk t ON t.project = p.project AND t.source = p.source AND t.i >= p.last_i - 50 GROUP BY ALL""")
 def cross_source_repeat(spark, sf_dir):
-    """The first word of each turn against the tail of the turn before."""
-    w = talk(spark, sf_dir)
+    """The opening run of each turn against the turn before, as far back as the lookback: ``nearest`` is its nearest repeat."""
+    w = repeats.runs(talk(spark, sf_dir))
     order = Window.partitionBy("project").orderBy("source")
-    b = w.groupBy("project", "source").agg(F.min_by("norm", "i").alias("first"), F.min("i").alias("first_i"), F.max("i").alias("last_i"))
-    p = b.select("project", "source", "last_i", F.lead("source").over(order).alias("next_source"), F.lead("first_i").over(order).alias("i"), F.lead("first").over(order).alias("next_norm")).where("i IS NOT NULL")
-    met = p.join(w.select("project", "source", F.col("i").alias("t"), "norm"), ["project", "source"]).where("t >= last_i - 50")
-    return met.groupBy("project", "source", "next_source", "i").agg(F.count("*").alias("n_tail"), F.max(F.when(F.col("norm") == F.col("next_norm"), F.col("t"))).alias("nearest"))
+    b = w.groupBy("project", "source").agg(F.min_by("run", "i").alias("first"), F.min("i").alias("first_i"), F.max("end").alias("last_end"))
+    p = b.select("project", "source", "last_end", F.lead("source").over(order).alias("next_source"), F.lead("first_i").over(order).alias("i"), F.lead("first").over(order).alias("run")).where("i IS NOT NULL")
+    met = p.join(w.select("project", "source", F.col("i").alias("j"), "start", F.col("run").alias("run_j")), ["project", "source"]).where(F.col("last_end") - F.col("start") <= repeats.LOOKBACK_MS)
+    keys = ["project", "source", "next_source", "i"]
+    tails = met.groupBy(*keys).agg(F.count("*").alias("n_tail"))
+    return tails.join(repeats.accepted(met).groupBy(*keys).agg(F.max("j").alias("nearest")), keys, "left")
 
 
 @query(f"""WITH {TALK_SQL}, v AS (SELECT DISTINCT norm FROM talk WHERE length(norm) BETWEEN 9 AND 12 AND regexp_matches(norm, '^[a-z]+$'))
