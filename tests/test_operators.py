@@ -156,3 +156,20 @@ def test_a_turn_that_restarts_the_turn_before(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.next_source: (r.n_tail, r.nearest) for r in catalogue.cross_source_repeat(spark, str(tmp_path)).collect()}
     assert got == {2: (106, 0), 3: (6, None)}
+
+
+def test_fuzzy_pairs_match_all_pairs(spark):
+    rng = random.Random(7)
+    words = {"".join(rng.choices("abé1", k=rng.randint(1, 15))) for _ in range(40)}
+    for word in list(words):
+        for _ in range(3):
+            own = list(word)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(own) + 1)
+                own[at : at + rng.randint(0, 1)] = rng.choices("abé1", k=rng.randint(0, 1))
+            words.add("".join(own))
+    v = spark.createDataFrame([(w,) for w in words], "norm string")
+    a, b = v.withColumnRenamed("norm", "a"), v.withColumnRenamed("norm", "b")
+    want = {(r.a, r.b) for r in a.crossJoin(b).where("a < b AND a <> ''").where(T.ratio(F.col("a"), F.col("b")) >= 85).collect()}
+    got = [(r.a, r.b) for r in catalogue.fuzzy_pairs(v).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(len(x) <= 8 for x, _ in want)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -342,11 +343,49 @@ def fuzzy_vocab(spark, sf_dir):
     return met.select("a", "b", F.levenshtein("a", "b").cast("long").alias("edits"))
 
 
+LEAST_RATIO = 85
+
+
+def _fuzzy_keys(batches):
+    """Keys ``(words of n and m letters, segment, its letters)`` of which every pair of the least ratio shares one.
+
+    Such a pair is at most ``edits`` insertions and deletions apart, each of which breaks at most one
+    of ``edits + 1`` segments of the shorter word; the others stand in the longer one, moved by at
+    most the deletions back or the insertions forward.
+    """
+    for batch in batches:
+        out = []
+        for word in batch["norm"]:
+            own = len(word)
+            for other in range(-(-own * LEAST_RATIO // (200 - LEAST_RATIO)), own * (200 - LEAST_RATIO) // LEAST_RATIO + 1):
+                for short, long, side in ((own, other, 0), (other, own, 1)):
+                    if short > long:
+                        continue
+                    edits = (short + long) * (100 - LEAST_RATIO) // 100
+                    deleted = (edits - (long - short)) // 2
+                    if deleted < 0:
+                        continue
+                    cuts = [short * k // (edits + 1) for k in range(edits + 2)]
+                    for k, (at, end) in enumerate(zip(cuts, cuts[1:])):
+                        for start in [at] if side == 0 else range(max(0, at - deleted), min(long - (end - at), at + deleted + long - short) + 1):
+                            out.append((word, side, f"{short} {long} {k} {word[start : start + end - at]}"))
+        yield pd.DataFrame(out, columns=["norm", "side", "key"]).drop_duplicates()
+
+
+def fuzzy_pairs(v: DataFrame) -> DataFrame:
+    """All pairs ``a < b`` of different words ``norm`` with a ratio of at least ``LEAST_RATIO``."""
+    keys = v.select("norm").where("norm <> ''").distinct().mapInPandas(_fuzzy_keys, "norm string, side int, key string")
+    met = keys.where("side = 0").select("key", F.col("norm").alias("x")).join(keys.where("side = 1").select("key", F.col("norm").alias("y")), "key").where("x <> y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    most = F.floor((F.length("a") + F.length("b")) * (100 - LEAST_RATIO) / 100)
+    pairs = pairs.where(F.levenshtein("a", "b") <= most).distinct()  # never more than insertions and deletions
+    return pairs.withColumn("ratio", F.round(T.ratio(F.col("a"), F.col("b")), 6)).where(F.col("ratio") >= LEAST_RATIO)
+
+
 @query()
 def fuzzy_ratio(spark, sf_dir):
-    """Indel similarity of blocked vocabulary pairs, those of at least 85."""
-    pairs = fuzzy_vocab(spark, sf_dir).select("a", "b")
-    return pairs.withColumn("ratio", F.round(T.ratio(F.col("a"), F.col("b")), 6)).where("ratio >= 85")
+    """Indel similarity of all pairs of the whole vocabulary, those of at least 85."""
+    return fuzzy_pairs(talk(spark, sf_dir).select("norm"))
 
 
 @query(f"""WITH {WORDS_SQL}, sn AS (SELECT source, sent, string_agg(norm, ' ' ORDER BY i) AS s FROM words GROUP BY source, sent), bt AS (SELECT item_id, regexp_replace(lower(text), '\\p{{P}}', '', 'g') AS t FROM benchmark)
