@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = stored(simhash.near_duplicates(docs))
     found = resemblance.merged(found, resemblance.links(docs, found))
     kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

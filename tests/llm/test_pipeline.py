@@ -30,3 +30,10 @@ def test_stages_keep_clean_documents(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
     assert packed.select("doc_id").distinct().count() == now.count()
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_only_rows_of_equal_id_and_text_are_one(spark):
+    rows = [(1, "first words of one"), (1, "other words than those before"), (1, "first words of one"), (None, "no id here"), (None, "nor is one at this place"), (None, "no id here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted(set(rows), key=str)
