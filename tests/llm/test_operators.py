@@ -341,7 +341,7 @@ def test_ctw_tables_are_distributions_and_weights_match_recursion():
 
 def test_ctw_every_context_has_a_node(spark):
     rng = random.Random(8)
-    texts = ["".join(rng.choices("abcdefgh", k=300)) for _ in range(150)]  # 8**5 contexts: over 2**14
+    texts = 2 * ["".join(rng.choices("abcdefghijklmnopqrst", k=300)) for _ in range(150)]  # four letters tell the next, over 2**14 times
     held = ["".join(rng.choices("abcdefghij", k=80)) for _ in range(10)] + [None, "é"]
     keys, n = np.unique(ctw._grams([t.encode() for t in texts], ctw.DEPTH), return_counts=True)
     levels = []
