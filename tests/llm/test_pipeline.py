@@ -1,7 +1,7 @@
 import corpus_pipeline
-from wordloom.llm import decontaminate, simhash
+from wordloom.llm import decontaminate
 
-from test_resemblance import _components, _exact
+from test_resemblance import _components, _exact, _fp
 
 
 def test_stages_keep_clean_documents(spark):
@@ -19,7 +19,7 @@ def test_stages_keep_clean_documents(spark):
         if name == "language ID":
             assert before == left
         elif name == "SimHash near-dedup":
-            fps = {i: simhash.fingerprint(texts[i]) for i in before}
+            fps = {i: _fp(texts[i]) for i in before}
             linked = [(i, j) for i in before for j in before if j < i and ((fps[i] ^ fps[j]).bit_count() <= 2 or _exact(texts[i], texts[j]) >= 0.8)]
             assert left == set(_components(before, linked).values())
         elif name == "benchmark decontamination":

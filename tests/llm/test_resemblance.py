@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from wordloom.llm import resemblance, simhash
 
 
@@ -30,30 +33,56 @@ def _edited(rng, words, share):
     return [f"x{rng.random()}" if rng.random() < share else w for w in words]
 
 
-def test_components_match_brute_force(spark):
+def _fp(text):
+    words = (text or "").encode().lower().split()
+    return simhash.folded(resemblance.shingles(words))
+
+
+def _partition(of):
+    sets = {}
+    for i, c in of.items():
+        sets.setdefault(c, set()).add(i)
+    return sorted(map(sorted, sets.values()))
+
+
+def _brute(texts):
+    n, fps = range(len(texts)), [_fp(t) for t in texts]
+    links = [(i, j) for i in n for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2 or _exact(texts[i], texts[j]) >= 0.8]
+    return _partition(_components(n, links))
+
+
+def _found(spark, texts, **options):
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, key string")
+    rows = resemblance.groups(docs, **options).collect()
+    assert len(rows) == len(texts)
+    return _partition({r.id: r.component for r in rows})
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 5}, {"heavy": 900}])
+def test_components_match_brute_force(spark, options):
     rng = random.Random(3)
-    texts = [None, "", "one two", "One  TWO", "one two three"]
+    texts = [None, "", " ", "one two", "One  TWO", "one two three"]
     for n in (40, 120, 300, 2500):
         base = [f"w{rng.randrange(5000)}" for _ in range(n)]
-        texts += [" ".join(base)] * 2 + [" ".join(_edited(rng, base, s)) for s in (0.005, 0.01, 0.015, 0.05, 0.3) for _ in range(4)]
+        texts += [" ".join(base)] * 2 + [" ".join(_edited(rng, base, s)) for s in (0.005, 0.01, 0.015, 0.03, 0.05, 0.3) for _ in range(4)]
         texts += [" ".join(base[: n // 2] + [f"v{rng.random()}" for _ in range(n)])]
-    sure = [(i, j) for i in range(len(texts)) for j in range(i) if _exact(texts[i], texts[j]) >= 0.84]
-    may = [(i, j) for i in range(len(texts)) for j in range(i) if _exact(texts[i], texts[j]) >= 0.76]
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, key string")
-    groups = simhash.near_duplicates(docs)
-    links = {(r.a, r.b) for r in resemblance.links(docs, groups).collect()}
-    assert all(_exact(texts[a], texts[b]) >= (0.8 if len(texts[a].split()) < 1000 else 0.76) for a, b in links)
-    found = resemblance.merged(groups, resemblance.links(docs, groups))
-    got = {r.id: r.component_id for r in found.collect()}
-    assert set(got) == set(range(len(texts)))
-    low, high = _components(got, sure), _components(got, [*may, (0, 1)])
-    assert all(got[i] == got[j] for i, j in sure) and got[0] == got[1]
-    assert all(high[i] == high[c] for i, c in got.items()) and all(c <= low[i] for i, c in got.items())
+    assert _found(spark, texts, **options) == _brute(texts)
+
+
+def test_chains_around_the_limit_match_brute_force(spark):
+    """Many texts of one origin whose similarities lie on both sides of 0.8, in groups smaller than the bucket."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(_edited(rng, base, rng.choice([0.01, 0.02, 0.03]))) for _ in range(90)]
+    want = _brute(texts)
+    assert len(want) > 5
+    assert _found(spark, texts) == want
+    assert _found(spark, texts, block=16) == want
 
 
 def test_long_texts_are_compared_whole(spark):
     rng = random.Random(9)
-    texts, want = [], set()
+    texts = []
     for n, target in [(2000 + 300 * k, 0.788 + 0.004 * k) for k in range(7)] * 2:
         base = [f"w{rng.random()}" for _ in range(n)]
         changed, at = list(base), list(range(2, n, 7))
@@ -62,26 +91,20 @@ def test_long_texts_are_compared_whole(spark):
             for _ in range(5):
                 changed[at.pop()] = f"x{rng.random()}"
         texts += [" ".join(base), " ".join(changed)]
-        if _exact(*texts[-2:]) >= 0.8:
-            want.add((len(texts) - 1, len(texts) - 2))
-    assert 2 <= len(want) < len(texts) // 2
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(max(r.a, r.b), min(r.a, r.b)) for r in resemblance.links(docs, simhash.near_duplicates(docs)).collect()}
-    assert got == want
+    want = _brute(texts)
+    assert len(texts) // 2 < len(want) < len(texts) - 1
+    assert _found(spark, texts) == want
 
 
-def test_large_group_costs_one_comparison_a_member(spark):
-    rng = random.Random(4)
-    base = [f"w{k}" for k in range(200)]
-    docs = spark.createDataFrame([(i, " ".join(_edited(rng, base, 0.004))) for i in range(400)], "doc_id long, text string")
-    groups = simhash.near_duplicates(docs)
-    links = resemblance.links(docs, groups)
-    assert links.count() <= 400 * 3
-    found = resemblance.merged(groups, links)
-    assert {r.component_id for r in found.collect()} == {0}
+def test_a_group_joins_labels_by_a_forest():
+    own = [np.arange(k, k + 50, dtype=np.uint64) for k in (0, 1, 2, 3, 100, 101)]
+    low = np.array([np.frombuffer(resemblance.sketch(s)[0], dtype=np.uint8) for s in own])
+    edges = resemblance.joined(np.array([5, 6, 7, 5, 9, 1]), low, own)
+    assert len(edges) == 3
+    assert _partition(_components([1, 5, 6, 7, 9], edges)) == [[1, 9], [5, 6, 7]]
 
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    groups = simhash.near_duplicates(docs)
-    assert resemblance.merged(groups, resemblance.links(docs, groups)).count() == 0
+    found = resemblance.groups(docs)
+    assert found.count() == 0 and resemblance.firsts(docs, found).count() == 0

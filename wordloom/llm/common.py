@@ -7,6 +7,8 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,35 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote; only for tables that no later plan reads."""
+    for frame in frames:
+        for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def runs(batches, keys: list[str]):
+    """Record batches sorted by ``keys`` to one table a key."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        if not part.num_rows:
+            continue
+        mark = np.stack([part[k].to_numpy() for k in keys])
+        cuts = [0, *(np.nonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0))[0] + 1).tolist(), part.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(mark[:, a].tolist())
+            if held and key != last:
+                yield last, pa.concat_tables(held)
+                held = []
+            held.append(part.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.concat_tables(held)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of plans that nothing refers to."""
     for _ in range(2):  # the cleaner works through a queue that a first collection fills
@@ -61,7 +92,6 @@ def fold(key: str | Column) -> Column:
 
 
 
-
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, component_id)``, the smallest id of each.
 

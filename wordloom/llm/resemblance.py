@@ -1,18 +1,24 @@
-"""Near copies by the Jaccard similarity of their 5-word shingle sets.
-
-SimHash at a small radius finds copies that differ in a few words only; at a similarity of 0.8 two
-64-bit fingerprints differ in about ten bits, which no partition can be probed for.  Texts between
-the two are found here: ``BANDS`` keys, each a hash of ``ROWS`` minima of the set under random
-orders, bring candidates together (a pair of similarity 0.8 shares a key with probability 0.999).
-
-A bucket never becomes pairs.  Its smallest id is the head and every member is compared with it;
-the smallest ids that no head so far resembles are the next heads (1, 2, 4, ...), again for all members, until every
-member is a head or connected to one.  Pairs that links found so far connect are not compared, so a
-bucket of m copies costs about m comparisons.  A link between two members that are each connected
-to another head can be missed in one bucket; they meet in others.
-
-Comparison: the whole sets, so the similarity is exact whatever the length.  Equal texts are one node (smallest id).  Texts without a word and rows without an
-id have no links.  Rows that share an id count as one node with the links of each.
+"""Near copies: SimHash fingerprints within two bits, and 5-word shingle sets of similarity 0.8.
+
+SimHash (``simhash.roots``) finds copies that differ in a few words; at a Jaccard similarity of 0.8
+two 64-bit fingerprints differ in about ten bits, which no partition of the bits can be probed for.
+So texts also meet in the buckets of ``BANDS`` keys, each a hash of ``ROWS`` minima of the shingle
+set under random orders (a pair of similarity 0.8 shares a key with probability 0.9999), and whole
+sets are compared there, however long.
+
+Texts with the same words are one node throughout, and nodes start with the label of their
+fingerprint's component.  A bucket whose nodes have one label asks for nothing.  Others are groups
+of at most ``block`` nodes and ``heavy`` shingles: a larger bucket is dealt to several, each of
+which holds the bucket's first node too, so a large set of copies comes together through it.  A
+group compares nodes of different labels only: sketches of one byte a minimum pass over pairs below
+``SLACK`` (5 standard errors under the limit), whole sets decide the others, and a group returns
+which labels it joined, never its pairs.  The first ``FIRST`` bands run alone, and what they join
+leaves most other buckets with one label.  Buckets of several groups that still hold several labels
+are then split by ``FURTHER`` keys of three more minima; a part that is still too large is dealt to
+blocks and every two blocks are compared, so no pair that shares a key is left out for its size.
+
+Null and empty texts have no shingles and link by their fingerprint only, all with one another.
+Null ids, shared ids and repeated rows are rows like any other: nothing here is keyed by id.
 """
 
 from __future__ import annotations
@@ -20,137 +26,189 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, stored
+from . import simhash
+from .common import components, discard, partitions, release, runs, stored
 from .decontaminate import grams
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 6
-FIRST = 3  #: rounds in which a document is compared with one head only
+BANDS, ROWS = 32, 6
+FIRST = 8  #: bands whose buckets are compared before the others
+FURTHER = 8  #: keys that split a bucket of several groups
+SLACK = 0.65  #: least share of equal sketch bytes of a pair whose sets are compared
+BLOCK = 2000  #: most nodes of a group
+HEAVY = 2_000_000  #: most shingles of a group of several nodes, on average
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(11)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
 def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """Sorted different shingle hashes; fewer words than ``width`` are one shingle."""
+    """A hash for every shingle, repeats included; fewer words than ``width`` are one shingle."""
     own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    return np.unique(grams(own, min(width, len(own)))) if len(own) else own
+    return grams(own, min(width, len(own))) if len(own) else own
 
 
-def keys(own: np.ndarray) -> np.ndarray:
-    """The band keys of a set that is not empty."""
+def sketch(own: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """One byte for each minimum, and the band keys, of a set that is not empty."""
     least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(own), 2048):
-        mixed = (own[None, at : at + 2048] ^ _FLIP[:, None]) * _TIMES[:, None]
+    for at in range(0, len(own), 512):
+        mixed = (own[None, at : at + 512] ^ _FLIP[:, None]) * _TIMES[:, None]
         np.minimum(least, mixed.min(axis=1), out=least)
     rows, out = least.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD
     for r in range(ROWS):
         out = (out ^ rows[:, r]) * _ODD
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets of sorted hashes."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+    return ((least * _ODD) >> np.uint64(56)).astype(np.uint8).tobytes(), out.view(np.int64)
 
 
 def _keyed(batches):
     for batch in batches:
-        ids, same, bands = [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if words := _words(text):
-                ids.append(i)
-                same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                bands.append(keys(shingles(words)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "same", "bands"])
-
-
-def _whole(batches):
+        ids, marks, same, fps, sizes, bytes_, bands = [], [], [], [], [], [], []
+        for i, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            words = _words(text)
+            every = shingles(words)
+            own = np.unique(every)
+            low, keys = sketch(own) if len(own) else (b"", [])
+            ids.append(i)
+            marks.append(mark)
+            same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            fps.append(simhash.folded(every))
+            sizes.append(len(own))
+            bytes_.append(low)
+            bands.append(keys)
+        columns = [pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(same, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bytes_, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "same", "fp", "size", "low", "bands"])
+
+
+def _sets(batches):
     for batch in batches:
-        own = [shingles(_words(t)).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "own"])
+        own = [np.unique(shingles(_words(t))).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["same", "own"])
+
+
+def joined(label: np.ndarray, low: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """The pairs of labels that links between these nodes join, as a forest."""
+    label, out = label.copy(), []
+    least = np.floor(SLACK / SIMILARITY * similarity * low.shape[1])
+    for i in range(len(sets) - 1):
+        apart = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if len(apart):
+            apart = apart[(low[apart] == low[i]).sum(axis=1) >= least]
+        for at in range(0, len(apart), 256):  # bounds the sets held together
+            some = [j for j in apart[at : at + 256].tolist() if label[j] != label[i]]
+            if not some:
+                continue
+            flat = np.concatenate([sets[j] for j in some])
+            sizes = np.array([len(sets[j]) for j in some])
+            place = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for j, n in zip(np.array(some)[both >= similarity * (sizes + len(sets[i]) - both)], both):
+                if label[j] != label[i]:
+                    out.append((int(label[i]), int(label[j])))
+                    label[label == label[j]] = label[i]
+    return out
+
 
+def _grouped(similarity: float):
+    """Rows sorted by ``key, part`` to the labels that each group joins."""
 
-def _compared(least: float):
     def run(batches):
-        for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(a, b)], pa.bool_()))
+        for _, rows in runs(batches, ["key", "part"]):
+            label = rows["label"].to_numpy()
+            if (label == label[0]).all():
+                continue
+            low = np.frombuffer(b"".join(rows["low"].to_pylist()), dtype=np.uint8).reshape(len(label), -1)
+            edges = joined(label, low, [np.frombuffer(s, dtype=np.uint64) for s in rows["own"].to_pylist()], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def links(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` that connect, with ``groups(id, component_id)``, all texts that resemble each other."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    keyed = stored(texts.mapInArrow(_keyed, "id long, same binary, bands array<long>"))
-    nodes = keyed.groupBy("same").agg(F.min("id").alias("id"))
-    entries = keyed.join(nodes, ["same", "id"], "left_semi").select("id", F.explode("bands").alias("key")).distinct()
-    entries = stored(entries)
-    shared = entries.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(entries.join(shared, "key"))
-    involved = members.select("id").distinct()
-    sets = stored(texts.join(involved, "id", "left_semi").mapInArrow(_whole, "id long, own binary"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("id").alias("a"), F.col("own").alias("sa"))
-        right = sets.select(F.col("id").alias("b"), F.col("own").alias("sb"))
-        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_compared(similarity), "a long, b long").distinct())
-
-    def of(labels: DataFrame, side: str) -> DataFrame:
-        return labels.select(F.col("id").alias(side), F.col("component_id").alias(f"of_{side}"))
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The pairs whose ends are not connected yet."""
-        return pairs.join(of(labels, "id"), "id").join(of(labels, "head"), "head").where("of_id <> of_head").drop("of_id", "of_head")
-
-    labels = stored(groups.select("id", "component_id").join(involved, "id", "left_semi").distinct())
-    found, entries = None, members.select("key", "id")
-    open_pairs = waiting = members.where("id <> head")
-    first, heads, following = FIRST, 1, None
-    while True:
-        pairs = open_pairs.select("id", "head").distinct()
-        if first:  # one head a document: most documents of a group of copies are connected by that
-            pairs = pairs.groupBy("id").agg(F.min("head").alias("head"))
-        new = verified(pairs.select(F.col("id").alias("a"), F.col("head").alias("b")))
-        found = new if found is None else found.unionByName(new)
-        labels = stored(merged(labels, new))
-        release(docs.sparkSession)
-        if first:
-            first -= 1
-            open_pairs = stored(apart(open_pairs.join(pairs, ["id", "head"], "left_anti"), labels))
-            if not open_pairs.isEmpty():
-                continue
-            first = 0
-        if following is None:
-            waiting = apart(waiting, labels).drop("head")
-        else:
-            same = waiting.join(following, "key").join(of(labels, "id"), "id").join(of(labels, "head"), "head").where("of_id = of_head")
-            waiting = waiting.join(same.select("key", "id").distinct(), ["key", "id"], "left_anti")
-        waiting = stored(waiting)
-        # members of a bucket that no head so far resembles: the smallest are its next heads, twice as many each round
-        order = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        following = stored(waiting.withColumn("order", order).where(F.col("order") <= heads).select("key", F.col("id").alias("head")))
-        if following.isEmpty():
-            return found.distinct()
-        heads *= 2
-        open_pairs = apart(entries.join(following, "key").where("id <> head").select(F.greatest("id", "head").alias("id"), F.least("id", "head").alias("head")).distinct(), labels)
-
-
-def merged(groups: DataFrame, near: DataFrame) -> DataFrame:
-    """``groups(id, component_id)`` joined along the links ``near(a, b)``; the smallest id names a component."""
-    of = groups.select("id", "component_id").distinct()
-    ends = near.join(of.select(F.col("id").alias("a"), F.col("component_id").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("component_id").alias("y")), "b")
-    joined = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("id").alias("component_id"), F.col("component_id").alias("lowest"))
-    return groups.join(joined, "component_id", "left").withColumn("component_id", F.coalesce("lowest", "component_id")).drop("lowest")
+def marked(docs: DataFrame, text_col: str = "text") -> Column:
+    """A 128-bit name of each text."""
+    return F.unhex(F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
+    """One row per input row: ``id, mark`` (the text's name) and ``component``, equal for rows that links connect."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), marked(docs, text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    keyed = stored(texts.mapInArrow(_keyed, "id long, mark binary, same binary, fp long, size long, low binary, bands array<long>"))
+    roots = stored(simhash.roots(keyed.select("fp").distinct()))
+    nodes = stored(keyed.where("size > 0").dropDuplicates(["same"]).join(roots, "fp").select("same", "id", "mark", "size", "low", "bands", "root"))
+    entries = nodes.select("same", F.posexplode("bands").alias("band", "key"), "root")
+    shared = entries.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "key")
+    members = stored(entries.join(shared, ["band", "key"]).select("same", "band", "key"))
+    involved = stored(nodes.join(members.select("same").distinct(), "same", "left_semi").drop("bands"))
+    found = texts.alias("t").join(involved.select("same", F.col("id").alias("of"), F.col("mark").alias("named")), F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("named")))
+    sets = stored(found.select("same", "text").dropDuplicates(["same"]).mapInArrow(_sets, "same binary, own binary"))
+    release(spark)
+    names = involved.select("same", "root", F.col("root").alias("label"))  # label: the component so far
+
+    def linked(cells: DataFrame) -> DataFrame:
+        """Labels joined by the groups ``cells(key, part, same, label)``."""
+        rows = cells.join(sets, "same").join(involved.select("same", "low"), "same")
+        width = partitions(spark, cells.count(), 4000)
+        return stored(rows.select("key", "part", "label", "low", "own").repartition(width, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_grouped(similarity), "a long, b long").distinct())
+
+    def merged(names: DataFrame, cells: DataFrame) -> DataFrame:
+        to = components(linked(cells)).select(F.col("id").alias("label"), F.col("component_id").alias("to"))
+        out = stored(names.join(to, "label", "left").select("same", "root", F.coalesce("to", "label").alias("label")))
+        release(spark)
+        return out
+
+    def alive(entries: DataFrame, keys: list[str]) -> DataFrame:
+        """Entries of buckets with several labels, with how many groups the bucket takes and its first node."""
+        bucket = entries.groupBy(*keys).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"), F.sum("size").alias("size"), F.min(F.struct("same", "label")).alias("head"))
+        width = F.greatest(F.ceil(F.col("n") / block), F.least(F.ceil(F.col("size") / heavy), F.col("n"))).cast("int")
+        return bucket.where("a <> b").select(*keys, width.alias("groups"), "head")
+
+    sizes = involved.select("same", "size")
+    for low, high in ((0, FIRST), (FIRST, BANDS)):
+        now = members.where(F.col("band").between(low, high - 1)).join(names, "same").join(sizes, "same")
+        buckets = alive(now, ["band", "key"])
+        own = F.xxhash64("band", "key")
+        cells = now.join(buckets, ["band", "key"]).select(own.alias("key"), F.pmod(F.xxhash64("same"), F.col("groups")).cast("int").alias("part"), "same", "label")
+        heads = buckets.where("groups > 1").select(own.alias("key"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "head.same", "head.label")
+        names = merged(names, stored(cells.unionByName(heads)))
+    # buckets of several groups: nodes of different groups have met through the first node only
+    now = members.join(names, "same").join(sizes, "same")
+    large = stored(now.join(alive(now, ["band", "key"]).where("groups > 1").select("band", "key"), ["band", "key"]))
+    if not large.isEmpty():
+        part = F.explode(F.array(*[F.concat(F.lit(bytes([k])), F.substring(F.col("low"), 3 * k * (BANDS * ROWS // 3 // FURTHER) + 1, 3)) for k in range(FURTHER)])).alias("more")
+        finer = large.join(involved.select("same", "low"), "same").select("band", "key", part, "same", "label", "size")
+        cells = finer.join(alive(finer, ["band", "key", "more"]), ["band", "key", "more"])
+        mine = F.pmod(F.xxhash64("same"), F.col("groups")).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda other: F.least(other, mine) * F.col("groups") + F.greatest(other, mine))
+        names = merged(names, stored(cells.select(F.xxhash64("band", "key", "more").alias("key"), F.explode(tiles).alias("part"), "same", "label")))
+    of = names.groupBy("root").agg(F.min("label").alias("label"))
+    rows = keyed.select("id", "mark", "fp").join(roots, "fp").join(of, "root", "left")
+    out = stored(rows.select("id", "mark", F.coalesce("label", "root").alias("component")))
+    release(spark)
+    discard(keyed, roots, nodes, members, involved, sets, large)
+    return out
+
+
+def firsts(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest id (null ids last).
+
+    Rows that share this id and differ in text count by their text's name; of rows equal in both one stays.
+    """
+    rows = found.groupBy("component", "id", "mark").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "rows")).alias("first")
+    kept = stored(rows.groupBy("component").agg(first).select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_mark"), F.col("first.rows").alias("_rows")))
+    here = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (marked(docs, text_col) == F.col("_mark"))
+    once = docs.join(kept.where("_rows = 1"), here, "left_semi")
+    again = kept.where("_rows > 1")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, here, "left_semi").dropDuplicates([id_col, text_col]))

@@ -17,7 +17,8 @@ its groups hold at most 65 different fingerprints; their smallest one stands for
 
 Equal fingerprints are one node throughout (its smallest id), whatever the number of copies.
 Null and empty texts, and texts of white space, have fingerprint zero and are linked like others.
-Rows repeated in full keep one row each; null ids are an id of their own and sort first.
+Rows repeated in full keep one row each.  Rows with a null id are linked by their texts like others;
+the smallest id of a component is taken over the ids that are not null, and is null if all are.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     else:
         join, digest = b" ".join, xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(join(s), 42) for s in zip(*(words[k:] for k in range(width)))), dtype=np.uint64, count=len(words) - width + 1)
+    return folded(hashes)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, repeats included: the bits that over half of them have."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -163,21 +169,26 @@ def links(nodes: DataFrame, chosen: list[tuple[list[int], int]], bucket_limit: i
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row per input row: ``id, fp (signed long), component_id``; fingerprints link at ``RADIUS`` bits."""
-    spark = docs.sparkSession
-    prints = cut(fingerprints(docs, id_col, text_col, width))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+def roots(nodes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``(fp, root)`` for different fingerprints ``nodes(fp)``: the same root for all that links connect."""
+    nodes = cut(nodes)
     count = nodes.count()
     share = min(1.0, 2.0 * SAMPLE / max(1, count))
     picked = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("fp").limit(SAMPLE)
     sample = np.array([r.fp for r in picked.collect()], dtype=np.int64).view(np.uint64)
     sample = np.random.default_rng(7).permutation(np.sort(sample))
-    edges = links(nodes.select("fp"), plan(sample, count), bucket_limit)
-    by_fp = components(edges)
-    linked = nodes.join(by_fp, nodes.fp == by_fp.id, "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("root"))
-    roots = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = linked.join(roots, "root").select("fp", "component_id")
+    by_fp = components(links(nodes, plan(sample, count), bucket_limit))
+    return nodes.join(by_fp, nodes.fp == by_fp.id, "left").select("fp", F.coalesce("component_id", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """One row per input row: ``id, fp (signed long), component_id``; fingerprints link at ``RADIUS`` bits."""
+    spark = docs.sparkSession
+    prints = cut(fingerprints(docs, id_col, text_col, width))
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    linked = nodes.join(roots(nodes.select("fp"), bucket_limit), "fp")
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    labels = linked.join(least, "root").select("fp", "component_id")
     release(spark)
     return prints.join(labels, "fp").select("id", "fp", "component_id")
 
