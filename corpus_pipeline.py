@@ -4,8 +4,8 @@ Stages return the columns of ``documents``; the last returns packed pieces.  No
 for anything but its own decision:
 
 1. language: rejects texts without a letter and those of which no language has half the words;
-2. near-duplicates: keeps the document with the smallest id of each group; links are fingerprints
-   within 2 bits and 5-word shingle sets of similarity 0.8 or more;
+2. near-duplicates: keeps one document of each group, the one with the smallest id; links are SimHash
+   fingerprints (5-word shingles) within 2 bits and 5-word shingle sets of similarity 0.8 or more;
 3. decontamination: drops documents that hold a copy of a benchmark item;
 4. secrets: keeps every document, its secrets replaced by a mark (``n_chars`` follows the text);
 5. packing: every piece of every document gets its place in a sequence.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, language, packing, resemblance, secrets, simhash
+from wordloom.llm import decontaminate, language, packing, resemblance, secrets
 from wordloom.llm.common import stored, table
 
 
@@ -25,10 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(simhash.near_duplicates(docs))
-    found = resemblance.merged(found, resemblance.links(docs, found))
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi").dropDuplicates(["doc_id", "text"])
+    return resemblance.firsts(docs, resemblance.groups(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
