@@ -115,6 +115,32 @@ def test_cap_filters_match_brute_force(spark):
     assert capfilter.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_cap_filters_recall_at_the_limit():
+    """Pairs at cosine 0.9 exactly meet in a filter, and their sign bits are near, among 1e4 and 1e6 rows."""
+    rng = np.random.default_rng(1)
+    for rows, pairs in ((10_000, 2000), (1_000_000, 400)):
+        a = capfilter.unit(rng.normal(size=(pairs, 64)))
+        other = rng.normal(size=(pairs, 64))
+        other = capfilter.unit(other - (other * a).sum(axis=1, keepdims=True) * a)
+        b = 0.9 * a + math.sqrt(1 - 0.81) * other
+        cap, words = capfilter.parameters(rows)
+        sets = [set(zip(*map(np.ndarray.tolist, capfilter.decode(v, words, cap)))) for v in (a, b)]
+        met = len({row for row, _ in sets[0] & sets[1]}) / pairs
+        far = ((a @ capfilter._signs(64) > 0) != (b @ capfilter._signs(64) > 0)).sum(axis=1)
+        assert met >= 0.95 and (far <= capfilter.FAR).all(), (rows, met)
+
+
+def test_cap_decoding_finds_every_filter_above_the_cap():
+    v = capfilter.unit(np.random.default_rng(2).normal(size=(30, 10)))
+    first, second = capfilter.codes(10, 12)
+    score = (v[:, :5] @ first.T)[:, :, None] + (v[:, 5:] @ second.T)[:, None, :]
+    row, found = capfilter.decode(v, 12, 1.0)
+    for k in range(30):
+        above = set(np.flatnonzero((score[k] / math.sqrt(2)).ravel() >= 1.0 / math.sqrt(10)).tolist())
+        got = set(found[row == k].tolist())
+        assert got == above if len(above) >= 11 else above <= got
+
+
 def test_simhash_links_match_brute_force(spark, docs, empty):
     text = dict(CORPUS)
     fps = {i: simhash.fingerprint(t) for i, t in text.items()}

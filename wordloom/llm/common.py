@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it; ``bytes.split()`` splits on the same six bytes.
+FEW = 10_000  #: edges that one task unites
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -75,10 +76,9 @@ def runs(batches, keys: list[str]):
 
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of plans that nothing refers to."""
-    for _ in range(2):  # the cleaner works through a queue that a first collection fills
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.1)
 
 
 def partitions(spark: SparkSession, rows: int, per: int) -> int:
@@ -92,17 +92,42 @@ def fold(key: str | Column) -> Column:
 
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def _united(batches):
+    """All of a few edges to ``(id, component_id)``."""
+    root: dict = {}
+
+    def find(i):
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = root[up]
+            i = up
+        return i
+
+    names, schema = ["id", "component_id"], None
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    if schema is not None:
+        ids = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array([find(i) for i in ids], schema.field(1).type)], names=names)
+
+
+def components(edges: DataFrame, limit: int = 60, few: int = FEW) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, component_id)``, the smallest id of each.
 
     Alternates large-star and small-star steps, so a chain of n links needs O(log n) rounds and
     the number of edges never grows.  Each round is one aggregate and one join on the node, both
     of which Spark can pre-aggregate or split when one node has very many links, and ends in a
-    checkpoint.  Only two numbers a round come to the driver.  Ids without an edge are not returned.
+    checkpoint.  Only two numbers a round come to the driver.  At most ``few`` edges are united by
+    one task instead, with the same result.  Ids without an edge are not returned.
     """
     spark = edges.sparkSession
     state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(state)
+    if 0 < before[0] <= few:
+        kind = state.schema["a"].dataType.simpleString()
+        return cut(state.coalesce(1).mapInArrow(_united, f"id {kind}, component_id {kind}"))
     for _ in range(limit):
         if before[0] == 0:
             break
