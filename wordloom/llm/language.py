@@ -12,31 +12,29 @@ The chain is cut into steps of ``STEP`` words only for speed: the product of the
 emission matrices of each stretch is formed for all stretches at once, messages pass over those
 products, and the posteriors are those of the unbroken chain.
 
-Training data: at most ``SAMPLE_DOCS`` documents a language, picked by a hash of the id, an excerpt
-of ``SAMPLE_CHARS`` characters of each.  Prediction reads whole texts.  A null text or one without
+Training data: the whole texts of at most ``SAMPLE_DOCS`` documents a language, picked by a hash of
+the id.  Prediction reads whole texts.  A null text or one without
 a letter is ``und`` with score 0.  With one language in training all text is that language; with
-none everything is ``und``.  Repeated rows are predicted once each; columns that the input has
-besides are not read.
+none everything is ``und``.  Repeated rows are predicted once each, rows with a null id like others; columns that the input has
+besides, whatever their names, are not read (``accepted`` returns them as they are).
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, table
 
-SAMPLE_DOCS = 400
-SAMPLE_CHARS = 1500
-LEXICON = 4000  #: most words a language contributes to the lexicon
+SAMPLE_DOCS = 200  #: labelled documents a language that the field is fitted on
+LEXICON = 2  #: times that a word occurs in a language's training text to be in the lexicon
 STEP = 128
 UNKNOWN = "und"
-_STRIP = re.compile(r"[\W\d_]+")
+_STRIP = regex.compile(r"\P{L}+")  # Unicode category L: digits, fractions and superscripts are no letters
 _CACHE = 400_000
 
 
@@ -49,7 +47,7 @@ def features(word: str) -> list[str]:
     padded = f"^{word}$"
     out = [f"w{word}"]
     out += [f"p{padded[: k + 1]}" for k in (1, 2, 3)] + [f"s{padded[-k - 1 :]}" for k in (1, 2, 3)]
-    out += [padded[i : i + 2] for i in range(len(padded) - 1)] + [padded[i : i + 3] for i in range(len(padded) - 2)]
+    out += [f"g{padded[i : i + 2]}" for i in range(len(padded) - 1)] + [f"g{padded[i : i + 3]}" for i in range(len(padded) - 2)]
     return out
 
 
@@ -127,7 +125,7 @@ class Tagger:
 
     @classmethod
     def train(cls, texts: list[tuple[str, str]], rounds: int = 6, run: int = 24, length: int = 96, seed: int = 5) -> Tagger:
-        """``texts``: (language, excerpt).  ``run``: mean words before a spliced sequence switches."""
+        """``texts``: (language, text).  ``run``: mean words before a spliced sequence switches."""
         rng = np.random.default_rng(seed)
         langs = sorted({lang for lang, _ in texts})
         words = {lang: [] for lang in langs}
@@ -140,7 +138,7 @@ class Tagger:
         lexicon = set()
         for own in words.values():
             kinds, n = np.unique(np.array(own), return_counts=True)
-            lexicon |= set(kinds[np.argsort(-n, kind="stable")][:LEXICON].tolist())
+            lexicon |= set(kinds[n >= LEXICON].tolist())
         index: dict[str, int] = {}
         vocab: dict[str, int] = {}
         lists: list[list[int]] = []
@@ -267,17 +265,13 @@ class Tagger:
         return [self.langs[b] if w else UNKNOWN for b, w in zip(best, words)], np.clip(score, 0.0, 1.0)
 
 
-def sample(labelled: DataFrame, docs_a_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """A bounded training sample of ``labelled(doc_id, text, lang)``: (language, excerpt)."""
+def sample(labelled: DataFrame, docs_a_language: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
+    """A bounded training sample of ``labelled(doc_id, text, lang)``: (language, whole text)."""
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.withColumn("draw", draw).join(F.broadcast(counts), "lang").where(F.col("draw") * F.col("n") < 2.0 * docs_a_language)
-    picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("rank") <= docs_a_language)
-    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
-    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), room).cast("int") + 1
-    rows = picked.select("lang", F.substring(F.col("text"), at, F.lit(chars)).alias("text"), "draw").collect()
-    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.draw, r.text))]
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")  # ranks are limited before and after the exchange
+    picked = usable.select("lang", "text", "doc_id", draw.alias("draw")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_a_language)
+    return [(r.lang, r.text) for r in sorted(picked.select("lang", "draw", "text").collect(), key=lambda r: (r.lang, r.draw, r.text))]
 
 
 def train(labelled: DataFrame) -> Tagger:
