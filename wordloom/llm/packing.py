@@ -9,7 +9,8 @@ their length; the rank is a running number inside a (length, salt) group plus th
 of that length in smaller salts, so no length meets in one task.
 
 Null and empty texts are one end id.  Repeated rows are packed once each: equal pieces are
-interchangeable.  An empty table gives no rows.
+interchangeable.  Rows with a null id are packed like others.  An empty table gives no rows.  Of
+other columns, whatever their names, ``pieces`` reads none; ``pack`` keeps those of its input.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def _encoder(path: str):
     """``text -> ids`` as the tokenizers library gives them for this byte-level BPE file.
 
     tiktoken runs the file's own vocabulary with the file's own merge order, which is several
-    times as fast; a text that holds one of the special tokens' strings goes to the library.
+    times as fast; a text that holds one of the special tokens' strings, or that it cannot split,
+    goes to the library.
     """
     import public_tokenizers
     import tiktoken
@@ -52,9 +54,13 @@ def _encoder(path: str):
     slow = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in specials):
-            return slow().encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+        if not any(s in text for s in specials):
+            try:
+                return fast.encode_ordinary(text)
+            except BaseException as error:  # its pattern engine panics on a very long run of white space
+                if type(error).__name__ != "PanicException":
+                    raise
+        return slow().encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -125,14 +131,14 @@ def plan(counts: dict[int, int], size: int = SIZE) -> tuple[np.ndarray, int]:
     return np.array(slots, dtype=np.int64).reshape(-1, 5), used
 
 
-def pack(parts: DataFrame, size: int = SIZE, per_salt: int = 50_000) -> DataFrame:
+def pack(parts: DataFrame, size: int = SIZE, per_salt: int = 2_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, length``."""
     spark = parts.sparkSession
     parts = cut(parts)
     histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     slots, _ = plan(histogram, size)
-    salts = -(-max(histogram.values(), default=1) // per_salt)
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for n, many in histogram.items() for x in (n, -(-many // per_salt))]), F.col("length").cast("int")), F.lit(1)) if histogram else F.lit(1)
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
