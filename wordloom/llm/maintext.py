@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import deque
+from math import tanh
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +35,10 @@ RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 PARTS = {"nav": -7.0, "footer": -7.0, "aside": -7.0, "form": -6.0, "head": -9.0, "menu": -6.0, "dialog": -7.0, "button": -6.0, "fieldset": -5.0}
-BAD = set("ad ads adbox adslot adsense advert advertisement advertising adverts adsbygoogle alert author banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation navbar newsletter notice notification outbrain pagination paging pager popup promo promotion promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split())
+BAD = set("ad ads adbox adslot adsense advert advertisement advertising adverts adsbygoogle alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation navbar newsletter notice notification outbrain pagination paging pager popup promo promotion promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split())
 GOOD = set("article articlebody body content entry main maincontent post postbody story text".split())
 ROLES = {"navigation": -7.0, "banner": -6.0, "contentinfo": -7.0, "complementary": -7.0, "search": -7.0, "alert": -6.0, "dialog": -7.0, "form": -6.0, "main": 3.0, "article": 3.0}
+SURE = 2.0  #: largest terminal capacity
 _CLOSES_P = BLOCK - {"body", "html", "head"}
 
 
@@ -50,7 +52,7 @@ class _Element:
         if tag in ("article", "main"):
             good = 4.0
         elif tag == "header":
-            bad = 0.0 if inside >= 3.0 else -6.0
+            bad = 0.0 if inside >= 2.0 else -6.0
         if attrs:
             for name, *values in _ATTRIBUTE.findall(attrs):
                 name, value = name.lower(), next((v for v in values if v), "").lower()
@@ -143,7 +145,16 @@ def blocks(page: str) -> list[Block]:
 
 
 def weight(block: Block) -> float:
-    """The classifier: above 0 for content."""
+    """Terminal capacity of a block: above 0 to content, below 0 to boilerplate, at most ``SURE``.
+
+    The bound is on the scale of the smoothness edges, so blocks with little evidence of their own
+    follow their neighbours, and even a sure one can be outvoted inside one page part.
+    """
+    return SURE * tanh(evidence(block) / SURE)
+
+
+def evidence(block: Block) -> float:
+    """The linear classifier: above 0 for content."""
     text, own = block.text, block.element
     words = text.count(" ") + 1
     score = -0.6 + own.good + own.bad
