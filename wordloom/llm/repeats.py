@@ -13,12 +13,14 @@ block of ``window // 2 + 1`` words that starts at a multiple of that length, so:
 
 Probes and digests travel as packed arrays, one row for each flush of a task and hash range: 5 bytes
 of hash (12 of digest) and 2 of document number.  A false hit of step 1 only costs a window in step
-2.  Texts travel compressed.  A passage that very many documents share stays one entry a document:
-no pairs are made.  The number of ranges follows the number of input partitions, so what one range
+2.  Texts travel compressed.  Each flush settles what it can by itself: of a hash that is hot within
+it, and of a window that several of its documents have, one document's entry goes on.  So a passage
+that very many documents share meets as one entry a flush, and no pairs are made.  The number of ranges follows the number of input partitions, so what one range
 gathers does not grow with the corpus.
 
 Null, empty and blank texts have no words (``n_words`` 0 and the digest of no bytes).  Rows that
-repeat a doc_id are one document to each other: only a smaller id removes.  A null id is no smaller
+share a doc_id, with equal or different texts, are judged each by its own text, and only a smaller
+id removes.  A null id is no smaller
 than any other and owns nothing.
 """
 
@@ -30,12 +32,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, stored, table
 
 WINDOW = 13
+MANY = 64  #: entries of a hash in one flush that make it hot without an indexed block
 FLUSH_WORDS, FLUSH_DOCS = 2_000_000, 60_000  #: a task's packed arrays are sent off at this size
 PACKED = "range int, ids binary, docs binary, keys binary, extra binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,24 +77,50 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
 
-def _dealt(ids: list[int], counts: list[int], to: np.ndarray, ranges: int, keys: np.ndarray, pack, extra: np.ndarray, pack_extra):
-    """Rows of ``PACKED`` from per-word arrays; ``counts``: how many of them each document has."""
-    docs = np.repeat(np.arange(len(ids)), counts)
+def _dealt(ids: np.ndarray, docs: np.ndarray, to: np.ndarray, keys: np.ndarray, pack, extra: np.ndarray, pack_extra):
+    """Rows of ``PACKED`` from arrays of entries; ``docs``: the row of ``ids`` of each, ``to``: its range."""
     order = np.argsort(to, kind="stable")
-    keys, extra, docs = keys[order], extra[order], docs[order]
-    ends = np.searchsorted(to[order], np.arange(ranges + 1))
-    own = np.array(ids, dtype=np.int64)
+    keys, extra, docs, to = keys[order], extra[order], docs[order], to[order]
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, dtype=np.int64)
     rows = []
-    for r, (i, j) in enumerate(zip(ends, ends[1:])):
-        if j > i:
-            here, number = np.unique(docs[i:j], return_inverse=True)
-            rows.append((r, own[here].tobytes(), number.astype(np.uint16).tobytes(), pack(keys[i:j]), pack_extra(extra[i:j])))
+    for i, j in zip(cuts, [*cuts[1:], len(to)]):
+        here, number = np.unique(docs[i:j], return_inverse=True)
+        rows.append((int(to[i]), ids[here].tobytes(), number.astype(np.uint16).tobytes(), pack(keys[i:j]), pack_extra(extra[i:j])))
     for i in range(0, len(rows), 32):
         yield _batch(rows[i : i + 32], ["range", "ids", "docs", "keys", "extra"], [pa.int32(), *[pa.binary()] * 4])
 
 
-def _owners(ids: bytes, docs: bytes) -> np.ndarray:
-    return np.frombuffer(ids, dtype=np.int64)[np.frombuffer(docs, dtype=np.uint16)]
+def _owners(ids: bytes, docs: bytes, width: int = 1) -> np.ndarray:
+    return np.frombuffer(ids, dtype=np.int64).reshape(-1, width)[np.frombuffer(docs, dtype=np.uint16)]
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _aside(ranges: int, flush: int) -> int:
+    """The range above all others that takes what a flush has settled by itself."""
+    return ranges + xxhash.xxh32_intdigest(f"{TaskContext.get().partitionId()} {flush}") % ranges
+
+
+def _settled(h: np.ndarray, d: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a flush tells of its own hashes: order, hits settled, entries sent on, and their anchors.
+
+    A hash that two documents of the flush hold, one of them in an indexed block, is hot whatever
+    others hold; so is taken one with ``MANY`` entries (a false hit only costs a window).  Of such a
+    hash one entry goes on, so a passage of very many documents meets as one entry a flush.
+    """
+    order = np.argsort(h, kind="stable")
+    h, d, anchors = h[order], d[order], anchors[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    sizes = np.diff(np.append(first, len(h)))
+    indexed = np.logical_or.reduceat(anchors, first)
+    done = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) & (indexed | (sizes >= MANY))
+    settled = np.repeat(done, sizes)
+    on = ~settled
+    on[first] = True
+    anchors[first[done]] = indexed[done]
+    return order, settled, on, anchors
 
 
 def _probes(block: int, ranges: int):
@@ -99,13 +129,18 @@ def _probes(block: int, ranges: int):
     def run(batches):
         held: list[np.ndarray] = []
         ids: list[int] = []
-        total = 0
+        total, number = 0, 0
 
         def flush():
             if total:
                 h = np.concatenate(held)
                 anchors = np.concatenate([np.arange(len(x)) % block == 0 for x in held])
-                yield from _dealt(ids, [len(x) for x in held], ((h >> np.uint64(44)) % np.uint64(ranges)).astype(np.int64), ranges, h, _pack5, anchors, lambda a: np.packbits(a).tobytes())
+                docs, own = np.repeat(np.arange(len(ids)), [len(x) for x in held]), np.array(ids, dtype=np.int64)
+                order, settled, on, anchors = _settled(h, own[docs], anchors)
+                h, docs = h[order], docs[order]
+                to = ((h >> np.uint64(44)) % np.uint64(ranges)).astype(np.int64)
+                yield from _dealt(own, docs[on], to[on], h[on], _pack5, anchors[on], _bits)
+                yield from _dealt(own, docs[settled], np.full(int(settled.sum()), _aside(ranges, number)), h[settled], _pack5, anchors[settled], _bits)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -116,7 +151,7 @@ def _probes(block: int, ranges: int):
                     total += len(h)
                 if total >= FLUSH_WORDS or len(ids) >= FLUSH_DOCS:
                     yield from flush()
-                    held, ids, total = [], [], 0
+                    held, ids, total, number = [], [], 0, number + 1
         yield from flush()
 
     return run
@@ -130,40 +165,54 @@ def _by_doc(d: np.ndarray, keys: np.ndarray, pack) -> pa.Table:
     return pa.table({"doc_id": pa.array(owners, pa.int64()), "hits": pa.array([pack(keys[i:j]) for i, j in zip(ends, ends[1:])], pa.binary())})
 
 
-def _hot(rows: pa.Table) -> pa.Table:
-    """Step 1, one range: ``(doc_id, hashes)`` of hot blocks."""
-    hashes, ids, anchors = [], [], []
-    for own, docs, packed, indexed in zip(*(rows[c].to_pylist() for c in ("ids", "docs", "keys", "extra"))):
-        h = _unpack5(packed)
-        hashes.append(h)
-        ids.append(_owners(own, docs))
-        anchors.append(np.unpackbits(np.frombuffer(indexed, dtype=np.uint8), count=len(h)).astype(bool))
-    h, d, a = np.concatenate(hashes), np.concatenate(ids), np.concatenate(anchors)
-    order = np.lexsort((d, h))
-    h, d, a = h[order], d[order], a[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    group = np.cumsum(new) - 1
-    first = np.nonzero(new)[0]
-    last = np.append(first[1:], len(h)) - 1
-    hot = (d[first] != d[last]) & np.logical_or.reduceat(a, first)
-    keep = hot[group]
-    keep[1:] &= (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return _by_doc(d[keep], h[keep], _pack5)
-
-
-def _first_owner(rows: pa.Table) -> pa.Table:
-    """Step 2, one range: ``(doc_id, window starts)`` of windows that a smaller id has too."""
-    keys = np.concatenate([np.frombuffer(b, dtype="<u4").reshape(-1, 3) for b in rows["keys"].to_pylist()])
-    d = np.concatenate([_owners(a, b) for a, b in zip(rows["ids"].to_pylist(), rows["docs"].to_pylist())])
-    at = np.concatenate([np.frombuffer(b, dtype="<u4") for b in rows["extra"].to_pylist()])
+def _hot(ranges: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Step 1, one range: ``(doc_id, hashes)`` of hot blocks."""
+        hashes, ids, anchors = [], [], []
+        for own, docs, packed, indexed in zip(*(rows[c].to_pylist() for c in ("ids", "docs", "keys", "extra"))):
+            h = _unpack5(packed)
+            hashes.append(h)
+            ids.append(_owners(own, docs)[:, 0])
+            anchors.append(np.unpackbits(np.frombuffer(indexed, dtype=np.uint8), count=len(h)).astype(bool))
+        h, d, a = np.concatenate(hashes), np.concatenate(ids), np.concatenate(anchors)
+        if rows["range"][0].as_py() >= ranges:  # settled by the flush
+            return _by_doc(d, h, _pack5)
+        order = np.lexsort((d, h))
+        h, d, a = h[order], d[order], a[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        group = np.cumsum(new) - 1
+        first = np.nonzero(new)[0]
+        last = np.append(first[1:], len(h)) - 1
+        hot = (d[first] != d[last]) & np.logical_or.reduceat(a, first)
+        keep = hot[group]
+        keep[1:] &= (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        return _by_doc(d[keep], h[keep], _pack5)
+
+    return run
+
+
+def _not_first(keys: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by window, and which entries of that order a smaller id has too."""
     order = np.lexsort((d, keys[:, 0], keys[:, 1], keys[:, 2]))
-    keys, d, at = keys[order], d[order], at[order]
+    keys, d = keys[order], d[order]
     new = np.ones(len(d), dtype=bool)
     new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
-    owner = d[np.nonzero(new)[0]][np.cumsum(new) - 1]
-    gone = d > owner
-    return _by_doc(d[gone], at[gone], lambda x: np.sort(x).astype("<u4").tobytes())
+    return order, d > d[np.nonzero(new)[0]][np.cumsum(new) - 1]
+
+
+def _first_owner(ranges: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Step 2, one range: ``(doc_id: the row's number, window starts)`` of windows that a smaller id has too."""
+        keys = np.concatenate([np.frombuffer(b, dtype="<u4").reshape(-1, 3) for b in rows["keys"].to_pylist()])
+        own = np.concatenate([_owners(a, b, 2) for a, b in zip(rows["ids"].to_pylist(), rows["docs"].to_pylist())])
+        at = np.concatenate([np.frombuffer(b, dtype="<u4") for b in rows["extra"].to_pylist()])
+        if rows["range"][0].as_py() < ranges:  # others are settled by the flush
+            order, gone = _not_first(keys, own[:, 0])
+            own, at = own[order][gone], at[order][gone]
+        return _by_doc(own[:, 1], at, lambda x: np.sort(x).astype("<u4").tobytes())
+
+    return run
 
 
 def _covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -212,24 +261,30 @@ def _extend(block: int, window: int):
 
 
 def _window_rows(ranges: int):
+    """Step 2, map side: windows by range; of a flush's windows only those of its smallest id go on."""
+
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        ids: list[int] = []
-        total = 0
+        ids: list[tuple[int, int]] = []
+        total, number = 0, 0
 
         def flush():
             if total:
                 keys, at = np.concatenate([k for k, _ in held]), np.concatenate([a for _, a in held])
-                yield from _dealt(ids, [len(a) for _, a in held], (keys[:, 0].astype(np.int64)) % ranges, ranges, keys, np.ndarray.tobytes, at, np.ndarray.tobytes)
+                docs, own = np.repeat(np.arange(len(ids)), [len(a) for _, a in held]), np.array(ids, dtype=np.int64)
+                order, gone = _not_first(keys, own[docs, 0])
+                keys, at, docs = keys[order], at[order], docs[order]
+                to = np.where(gone, _aside(ranges, number), keys[:, 0].astype(np.int64) % ranges)
+                yield from _dealt(own, docs, to, keys, np.ndarray.tobytes, at, np.ndarray.tobytes)
 
         for batch in batches:
-            for doc, digests, starts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, row, digests, starts in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 held.append((np.frombuffer(digests, dtype="<u4").reshape(-1, 3), np.frombuffer(starts, dtype="<u4")))
-                ids.append(doc)
+                ids.append((doc, row))
                 total += len(held[-1][1])
                 if total >= FLUSH_WORDS or len(ids) >= FLUSH_DOCS:
                     yield from flush()
-                    held, ids, total = [], [], 0
+                    held, ids, total, number = [], [], 0, number + 1
         yield from flush()
 
     return run
@@ -266,21 +321,22 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ranges = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     probes = docs.where("doc_id IS NOT NULL").mapInArrow(_probes(block, ranges), PACKED)
-    hits = stored(probes.groupBy("range").applyInArrow(_hot, "doc_id long, hits binary"))
+    hits = stored(probes.groupBy("range").applyInArrow(_hot(ranges), "doc_id long, hits binary"))
     del probes
     release(spark)
     by_doc = hits.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))  # at most a document's own words
     joined = docs.mapInArrow(_compressed, "doc_id long, text binary").join(by_doc, "doc_id", "left").select("doc_id", "text", "hits")
-    state = stored(joined.mapInArrow(_extend(block, window), "doc_id long, n_words long, kept_sha256 string, text binary, digests binary, starts binary"))
+    extended = joined.mapInArrow(_extend(block, window), "doc_id long, n_words long, kept_sha256 string, text binary, digests binary, starts binary")
+    state = stored(extended.withColumn("row", F.monotonically_increasing_id()))  # names a row where ids repeat
     del joined, by_doc, hits
     release(spark)
     met = state.where("digests IS NOT NULL")
-    rows = met.select("doc_id", "digests", "starts").mapInArrow(_window_rows(ranges), PACKED)
-    owned = stored(rows.groupBy("range").applyInArrow(_first_owner, "doc_id long, hits binary"))
+    rows = met.select("doc_id", "row", "digests", "starts").mapInArrow(_window_rows(ranges), PACKED)
+    owned = stored(rows.groupBy("range").applyInArrow(_first_owner(ranges), "doc_id long, hits binary"))
     del rows
     release(spark)
-    owned = owned.groupBy("doc_id").agg(F.collect_list("hits").alias("owned"))
-    cleaned = met.select("doc_id", "n_words", "text").join(owned, "doc_id", "left").select("doc_id", "n_words", "text", "owned")
+    owned = owned.groupBy(F.col("doc_id").alias("row")).agg(F.collect_list("hits").alias("owned"))
+    cleaned = met.select("doc_id", "row", "n_words", "text").join(owned, "row", "left").select("doc_id", "n_words", "text", "owned")
     cleaned = cleaned.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     whole = state.where("digests IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return whole.unionByName(cleaned)
