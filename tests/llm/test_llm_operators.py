@@ -405,3 +405,42 @@ def test_decontamination_finds_edited_copies(spark, empty):
     clean = {r.doc_id for r in decontaminate.clean(d, b).collect()}
     assert clean == {100 + k for k, _ in items} | {300, 301, 302}
     assert decontaminate.find(empty, b).count() == 0 and decontaminate.find(d, b.where("item_id < 0")).count() == 0
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    words = [f"w{k}" for k in range(90)]
+    rows = [(1, " ".join(words[:60])), (5, " ".join([*(f"a{k}" for k in range(9)), *words[:30]])), (5, " ".join([*words[30:60], "end"])), (None, " ".join(words[:60]))]
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 60, 0), (5, 39, 30), (5, 31, 30), (None, 60, 0)}
+
+
+def test_a_flush_settles_only_what_is_hot(monkeypatch):
+    h = np.array([7, 7, 8, 8, 9, 9, 9, 10], dtype=np.uint64)
+    d = np.array([1, 2, 1, 2, 4, 4, 4, 5])
+    order, settled, on, anchors = repeats._settled(h, d, np.array([0, 1, 0, 0, 1, 1, 1, 1], dtype=bool))
+    assert settled.tolist() == [True, True] + [False] * 6 and on.tolist() == [True, False] + [True] * 6 and anchors[0]
+
+
+def test_letters_are_category_l():
+    assert language.core("½²_3é'A") == "éa" and language.core("½ ²") == ""
+    assert len(set(language.features("wa") + language.features("a"))) == len(set(language.features("wa"))) + len(set(language.features("a")) - set(language.features("wa")))
+    assert "wa" not in language.features("wa")[1:]
+
+
+def test_the_cut_moves_blocks_with_little_evidence():
+    page = "<article><p>" + "A long sentence of the story, with many words in it. " * 3 + "</p><li><a href=x>See this</a></li><p>" + "Another long sentence of the story with words. " * 3 + "</p></article><div class=sidebar><p>Lines of the sidebar that are long enough to look like prose.</p></div>"
+    found = maintext.blocks(page)
+    own = [maintext.weight(b) for b in found]
+    assert maintext.labels(own, maintext.edges(found)) == [True, True, True, False]
+    alone = maintext.labels([*own[:1], -0.9, *own[2:]], maintext.edges(found))
+    assert alone == [True, True, True, False] and maintext.labels([own[0], -0.9, own[2], own[3]], []) == [True, False, True, False]
+
+
+def test_very_long_white_space_has_the_librarys_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, library = packing._encoder(path), Tokenizer.from_file(path)
+    for text in (" " * 400_000, "a" + "\n" * 200_000 + "b", "x" * 30_000, "<|endoftext|> a", "é​   ퟿ 𐍈", "1" * 9999 + " \t\r\n"):
+        assert list(encode(text)) == library.encode(text, add_special_tokens=False).ids
