@@ -27,13 +27,14 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, partitions, release, stored, table
+from .common import distinct, fold, partitions, release, stored, table
 
 DEPTH = 5
 TOP = 2  #: depth down to which the tree is broadcast; all below is dealt to buckets
@@ -245,8 +246,12 @@ def _split(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.nd
 
 
 def _gathered(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, at = np.unique(keys, return_inverse=True)
-    return own, np.bincount(at, weights=counts, minlength=len(own))
+    if not len(keys):
+        return keys, np.zeros(0)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order].astype(np.float64), first)
 
 
 class Tree:
@@ -364,7 +369,7 @@ def _asked(buckets: int):
         names = ["batch", "bucket", "blob", "ids", "sizes"]
 
         def made(ids, texts):
-            keys = np.unique(_grams(texts, DEPTH))
+            keys = distinct(_grams(texts, DEPTH))
             of = _bucket(keys, buckets)
             order = np.argsort(of, kind="stable")
             keys, of = keys[order], of[order]
@@ -428,7 +433,9 @@ def _scores(buckets, frequent):
         (row,) = docs.to_pylist()
         ids, text = pa.array(row["ids"], pa.int64()), zlib.decompress(row["blob"])
         texts = [text[a:b] for a, b in pairwise([0, *np.cumsum(row["sizes"]).tolist()])]
-        asked, place = np.unique(_grams(texts, DEPTH), return_inverse=True)
+        every = _grams(texts, DEPTH)
+        asked = distinct(every)
+        place = pd.Index(asked).get_indexer(every)
         order = np.argsort(_bucket(asked, buckets), kind="stable")
         each = np.empty(len(asked))
         each[order] = np.frombuffer(b"".join(answers.sort_by("bucket").column("logs").to_pylist()), dtype=np.float32)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import distinct, table
 
 SIMILARITY = 0.8
 GRAM = 3
@@ -171,7 +171,7 @@ def _frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
                 own = _hashes(words(text))
                 for n in sizes:
                     g = grams(own, n)
-                    count[np.searchsorted(known, np.unique(g[_among(g, known)]))] += 1
+                    count[np.searchsorted(known, distinct(g[_among(g, known)]))] += 1
         at = np.nonzero(count)[0]
         yield pa.RecordBatch.from_arrays([pa.array(known[at].view(np.int64)), pa.array(count[at])], names=["gram", "n"])
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, discard, partitions, release, runs, stored
+from .common import components, discard, distinct, partitions, release, runs, stored
 from .decontaminate import grams
 
 WIDTH = 5
@@ -76,7 +76,7 @@ def _keyed(batches):
         for i, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             words = _words(text)
             every = shingles(words)
-            own = np.unique(every)
+            own = distinct(every)
             low, keys = sketch(own) if len(own) else (b"", [])
             ids.append(i)
             marks.append(mark)
@@ -91,7 +91,7 @@ def _keyed(batches):
 
 def _sets(batches):
     for batch in batches:
-        own = [np.unique(shingles(_words(t))).tobytes() for t in batch.column(1).to_pylist()]
+        own = [distinct(shingles(_words(t))).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["same", "own"])
 
 
