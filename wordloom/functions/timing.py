@@ -18,11 +18,13 @@ def nominal_rate(num: Column, den: Column) -> Column:
 
 
 def first_frame(ms: Column, num: Column, den: Column) -> Column:
-    return F.floor(ms * num / (den * 1000)).cast("long")
+    """The frame at or before a time that is not negative, on integers."""
+    return F.call_function("div", ms * num, den * 1000)
 
 
 def end_frame(ms: Column, num: Column, den: Column) -> Column:
-    return F.ceil(ms * num / (den * 1000)).cast("long")
+    """The frame at or after a time that is not negative, on integers."""
+    return F.call_function("div", ms * num + den * 1000 - 1, den * 1000)
 
 
 def frame_range(start_ms: Column, end_ms: Column, num: Column, den: Column) -> tuple[Column, Column]:
@@ -42,7 +44,7 @@ def decibels(x: Column) -> Column:
 
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor by 96 Euclid steps, enough for any two longs."""
-    state = F.struct(a.alias("x"), b.alias("y"))
+    state = F.struct(a.cast("long").alias("x"), b.cast("long").alias("y"))
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).alias("y")))
     return F.aggregate(F.sequence(F.lit(1), F.lit(96)), state, step, lambda s: s["x"])
 

@@ -29,6 +29,19 @@ def cut_points(ranges: DataFrame, words: DataFrame, head_ms: int = 80, tail_ms:
     return out.select("source", "range_no", "first_word", "last_word", cut_in.alias("cut_in"), cut_out.alias("cut_out"))
 
 
+def cut_ranges(words: DataFrame, max_gap_ms: int = 400, head_ms: int = 80, tail_ms: int = 120) -> DataFrame:
+    """``group`` and ``cut_points`` of words none of which is dropped, in one pass over them."""
+    order = Window.partitionBy("source").orderBy("i")
+    w = words.select("source", "i", "start", "end", F.lag("end").over(order).alias("_before"), F.lead("start").over(order).alias("_after"))
+    w = islands.number(w, ["source"], ["i"], F.col("start") - F.col("_before") > max_gap_ms, "range_no")
+    r = w.groupBy("source", "range_no").agg(
+        F.min("i").cast("long").alias("first_word"), F.max("i").cast("long").alias("last_word"), F.min("start").alias("_in"), F.max("end").alias("_out"),
+        F.min_by("_before", "i").alias("_before"), F.max_by("_after", "i").alias("_after"),
+    )
+    cut_in, cut_out = F.greatest(F.col("_in") - head_ms, F.coalesce("_before", F.lit(0))), F.col("_out") + tail_ms
+    return r.select("source", "range_no", "first_word", "last_word", cut_in.alias("cut_in"), F.least(cut_out, F.coalesce("_after", cut_out)).alias("cut_out"))
+
+
 def framed(ranges: DataFrame, num: int, den: int) -> DataFrame:
     first, last = timing.frame_range(F.col("cut_in"), F.col("cut_out"), F.lit(num), F.lit(den))
     return ranges.withColumn("in_frame", first).withColumn("out_frame", last)

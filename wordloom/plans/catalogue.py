@@ -10,20 +10,7 @@ from ..functions import text as T
 from ..functions import timing
 from ..operators import fillers, intervals, islands, repeats, scoring, signal, timeline
 from .carriers import FRAMES_SQL, SESSIONS_SQL, WORDS_SQL, frames, sessions, table, words
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import query
 
 GROUP_SQL = """g1 AS (SELECT *, CASE WHEN "start" - lag("end") OVER (PARTITION BY source ORDER BY i) > 400 THEN 1 ELSE 0 END AS b FROM words),
 g2 AS (SELECT *, sum(b) OVER (PARTITION BY source ORDER BY i ROWS UNBOUNDED PRECEDING) AS range_no FROM g1),
@@ -55,7 +42,7 @@ g AS (SELECT *, sum(CASE WHEN tok LIKE ' %' THEN 1 ELSE 0 END) OVER (PARTITION B
 SELECT source, CAST(w AS BIGINT) AS word, string_agg(tok, '' ORDER BY piece) AS w, CAST(min(piece) AS BIGINT) AS first_piece, CAST(max(piece) AS BIGINT) AS last_piece FROM g GROUP BY source, w""")
 def subword_merge(spark, sf_dir):
     """Pieces of four characters stand for sub-words; one that begins with a space starts a word."""
-    pieces = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("source"), F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / 4).cast("int")), lambda k: F.substring(F.col("text"), k * 4 + 1, F.lit(4)))).alias("piece", "tok"))
+    pieces = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("source"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,4}"), F.lit(0))).alias("piece", "tok"))
     w = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
     made = pieces.withColumn("word", F.sum(F.col("tok").startswith(" ").cast("long")).over(w))
     return made.groupBy("source", "word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "tok"))), lambda x: x["tok"]), "").alias("w"), F.min("piece").cast("long").alias("first_piece"), F.max("piece").cast("long").alias("last_piece"))
@@ -202,7 +189,7 @@ framed AS (SELECT source, range_no, first_word, last_word, cut_in, cut_out, in_f
 
 
 def _framed(spark, sf_dir):
-    return timeline.framed(timeline.cut_points(_ranges(spark, sf_dir), words(spark, sf_dir)), 30000, 1001)
+    return timeline.framed(timeline.cut_ranges(words(spark, sf_dir)), 30000, 1001)
 
 
 @query(CUT_SQL + " SELECT * FROM framed")
