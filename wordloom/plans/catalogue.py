@@ -204,7 +204,11 @@ def merge_touching(spark, sf_dir):
     return timeline.merge_touching(_framed(spark, sf_dir), 12)
 
 
-@query()
+@query(CUT_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY in_frame) AS k, first_word AS fw, last_word AS lw, in_frame AS f0, out_frame AS f1, lead(in_frame) OVER (PARTITION BY source ORDER BY in_frame) AS nx FROM framed),
+g AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS dn, CAST(NULL AS BIGINT) AS dfw, CAST(NULL AS BIGINT) AS dlw, CAST(NULL AS BIGINT) AS d0, CAST(NULL AS BIGINT) AS d1, CAST(NULL AS BIGINT) AS cfw, CAST(NULL AS BIGINT) AS c0 FROM o UNION ALL
+SELECT source, k, CASE WHEN big THEN dn + 1 ELSE dn END, CASE WHEN big THEN fw ELSE dfw END, CASE WHEN big OR back THEN lw ELSE dlw END, CASE WHEN big THEN f0 ELSE d0 END, CASE WHEN big OR back THEN f1 ELSE d1 END, CASE WHEN NOT big AND NOT back AND nx - f1 <= 20 THEN fw END, CASE WHEN NOT big AND NOT back AND nx - f1 <= 20 THEN f0 END
+FROM (SELECT g.source, o.k, g.dn, g.dfw, g.dlw, g.d0, g.d1, coalesce(g.cfw, o.fw) AS fw, o.lw, coalesce(g.c0, o.f0) AS f0, o.f1, o.nx, o.f1 - coalesce(g.c0, o.f0) >= 15 AS big, coalesce(o.f1 - coalesce(g.c0, o.f0) < 15 AND g.dn > 0 AND coalesce(g.c0, o.f0) - g.d1 <= 20, false) AS back FROM g JOIN o ON o.source = g.source AND o.k = g.k + 1))
+SELECT source, arg_max(dfw, k) AS first_word, arg_max(dlw, k) AS last_word, arg_max(d0, k) AS in_frame, arg_max(d1, k) AS out_frame FROM g WHERE dn > 0 GROUP BY source, dn""")
 def remove_tiny(spark, sf_dir):
     return timeline.remove_tiny(_framed(spark, sf_dir), 15, 20)
 
@@ -277,14 +281,18 @@ tt AS (SELECT project, source, p, ws[p + 1] AS w FROM (SELECT project, source, w
 talk AS (SELECT project, source, row_number() OVER (PARTITION BY project ORDER BY source, p) - 1 AS i, w, regexp_replace(lower(w), '\\p{P}', '', 'g') AS norm FROM tt)"""
 
 
-CANDIDATES_SQL = TALK_SQL + """,
-r AS (SELECT project, source, i, list(norm) OVER (PARTITION BY project, source ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS run FROM talk),
-met AS (SELECT a.project, a.source, b.i, a.i AS j, a.run AS ra, b.run AS rb, least(len(a.run), len(b.run), b.i - a.i) AS n FROM r a JOIN r b ON a.project = b.project AND a.source = b.source AND a.i < b.i AND (b.i - a.i) * 400 <= 90000
-  AND (a.run[1] = b.run[1] OR (len(a.run) > 1 AND len(b.run) > 1 AND a.run[2] = b.run[2]))),
+STOP_SQL = "['" + "', '".join(T.STOPWORDS) + "']"
+RUNS_SQL = TALK_SQL + """,
+r AS (SELECT project, source, i, list(norm) OVER (PARTITION BY project, source ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS run FROM talk)"""
+# pairs of runs ``met(i, j, ra, rb, n)`` to their accepted matches
+MATCH_SQL = f"""
 sm AS (SELECT *, list_transform(range(1, n + 1), lambda t: ra[t] = rb[t]) AS same FROM met),
 wr AS (SELECT *, list_filter(range(1, n + 1), lambda t: NOT same[t]) AS wrong FROM sm),
 ct AS (SELECT *, coalesce(list_min(list_filter(wrong, lambda t: t = n OR NOT same[t + 1] OR list_position(wrong, t) > 5)) - 1, n) AS cut FROM wr),
-mt AS (SELECT *, len(list_filter(range(1, cut + 1), lambda t: same[t])) AS matches, len(list_filter(range(1, cut + 1), lambda t: same[t] AND ra[t] <> '' AND NOT list_contains(['the', 'a', 'an', 'and', 'or', 'but', 'so', 'to', 'of', 'in', 'on', 'for', 'with', 'at', 'by', 'from', 'is', 'it', 'that', 'this', 'as', 'be', 'are', 'was', 'if', 'then'], ra[t]))) AS content FROM ct),
+mt AS (SELECT *, len(list_filter(range(1, cut + 1), lambda t: same[t])) AS matches, len(list_filter(range(1, cut + 1), lambda t: same[t] AND ra[t] <> '' AND NOT list_contains({STOP_SQL}, ra[t]))) AS content FROM ct)"""
+CANDIDATES_SQL = RUNS_SQL + """,
+met AS (SELECT a.project, a.source, b.i, a.i AS j, a.run AS ra, b.run AS rb, least(len(a.run), len(b.run), b.i - a.i) AS n FROM r a JOIN r b ON a.project = b.project AND a.source = b.source AND a.i < b.i AND (b.i - a.i) * 400 <= 90000
+  AND (a.run[1] = b.run[1] OR (len(a.run) > 1 AND len(b.run) > 1 AND a.run[2] = b.run[2]))),""" + MATCH_SQL + """,
 cand AS (SELECT project, source, i, max(j) AS j, CAST(arg_max(matches, j) AS BIGINT) AS matches, CAST(arg_max(cut - matches, j) AS BIGINT) AS mismatches FROM mt WHERE matches >= 3 AND (matches >= 5 OR content > 0) GROUP BY project, source, i)"""
 
 
@@ -294,20 +302,32 @@ def repeat_candidates(spark, sf_dir):
     return found.withColumn("matches", F.col("matches").cast("long")).withColumn("mismatches", F.col("mismatches").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CANDIDATES_SQL}, cn AS (SELECT *, row_number() OVER (PARTITION BY project, source ORDER BY i) AS k FROM cand),
+g AS (SELECT project, source, k, i, j, matches, mismatches, true AS stays, i AS free, 1 AS n FROM cn WHERE k = 1 UNION ALL
+SELECT cn.project, cn.source, cn.k, cn.i, cn.j, cn.matches, cn.mismatches, cn.j >= g.free, CASE WHEN cn.j >= g.free THEN cn.i ELSE g.free END, g.n + CASE WHEN cn.j >= g.free THEN 1 ELSE 0 END FROM g JOIN cn ON cn.project = g.project AND cn.source = g.source AND cn.k = g.k + 1)
+SELECT project, source, i, j, matches, mismatches, 'd' || lpad(CAST(n AS VARCHAR), 3, '0') AS id FROM g WHERE stays""")
 def repeat_claims(spark, sf_dir):
-    return repeats.claims(repeats.candidates(talk(spark, sf_dir)))
+    found = repeats.candidates(talk(spark, sf_dir))
+    return repeats.claims(found.withColumn("matches", F.col("matches").cast("long")).withColumn("mismatches", F.col("mismatches").cast("long")))
 
 
-@query()
+@query(f"""WITH {CANDIDATES_SQL}, x AS (SELECT c.*, t.i AS at_i, t.norm, regexp_matches(t.w, '[.?!]$') AS ends, t.source AS ts, t.norm <> '' AND NOT list_contains({STOP_SQL}, t.norm) AS content, t.i < c.i AS early, t.i >= c.i AND t.i < 2 * c.i - c.j AS again FROM cand c JOIN talk t ON t.project = c.project AND t.i BETWEEN c.j AND c.i + (c.i - c.j) + 9),
+y AS (SELECT project, source, i, j, matches, mismatches, list(norm ORDER BY at_i) FILTER (early) AS en, list(norm ORDER BY at_i) FILTER (again) AS ln, coalesce(bool_or(ends) FILTER (early), false) AS done, coalesce(bool_or(ends) FILTER (at_i < i - 1), false) AS e_inner, coalesce(bool_or(ends) FILTER (at_i = i - 1), false) AS e_last,
+  coalesce(bool_or(ends) FILTER (at_i >= i AND at_i < 2 * i - j - 1), false) AS l_inner, coalesce(bool_or(ends) FILTER (at_i = 2 * i - j - 1), false) AS l_last, count(DISTINCT ts) FILTER (again) AS l_sources, (i - 1) * 400 + 300 - j * 400 AS duration_ms,
+  coalesce(list(DISTINCT norm) FILTER (early AND content), []) AS gone, coalesce(list(DISTINCT norm) FILTER (NOT early AND content), []) AS stay FROM x GROUP BY project, source, i, j, matches, mismatches),
+z AS (SELECT *, coalesce(en = ln AND NOT e_inner AND NOT l_inner AND e_last AND l_last AND l_sources = 1, false) AS exact, CASE WHEN len(gone) > 0 THEN len(list_filter(gone, lambda g: NOT list_contains(stay, g))) / len(gone) ELSE 0.0 END AS missing FROM y)
+SELECT project, source, i, j, matches, mismatches, duration_ms, exact, round(missing, 6) AS missing, CASE WHEN exact THEN 'drop' WHEN done OR duration_ms > 20000 THEN 'keep' ELSE 'drop' END AS action,
+CASE WHEN exact THEN NULL WHEN done THEN 'complete_sentence' WHEN duration_ms > 20000 THEN 'long_segment' WHEN missing > 0.5 THEN 'retake_missing_content' END AS reason FROM z""")
 def guard_cascade(spark, sf_dir):
     w = talk(spark, sf_dir)
-    return repeats.guarded(repeats.candidates(w), w).withColumn("missing", F.round("missing", 6))
+    found = repeats.guarded(repeats.candidates(w), w).withColumn("missing", F.round("missing", 6))
+    return found.withColumn("matches", F.col("matches").cast("long")).withColumn("mismatches", F.col("mismatches").cast("long"))
 
 
-@query(f"""WITH {TALK_SQL}, b AS (SELECT project, source, min(i) AS first_i, max(i) AS last_i, count(*) AS n FROM talk GROUP BY project, source),
-p AS (SELECT *, lead(source) OVER (PARTITION BY project ORDER BY source) AS next_source, lead(first_i) OVER (PARTITION BY project ORDER BY source) AS next_i FROM b)
-SELECT p.project, p.source, p.next_source, p.next_i AS i, count(*) AS n_tail, max(t.i) FILTER (t.norm = f.norm) AS nearest FROM p JOIN talk f ON f.project = p.project AND f.i = p.next_i JOIN talk t ON t.project = p.project AND t.source = p.source AND t.i >= p.last_i - 50 GROUP BY ALL""")
+@query(f"""WITH {RUNS_SQL}, b AS (SELECT project, source, min(i) AS first_i, max(i) * 400 + 300 AS last_end FROM talk GROUP BY project, source),
+p AS (SELECT *, lead(source) OVER (PARTITION BY project ORDER BY source) AS next_source, lead(first_i) OVER (PARTITION BY project ORDER BY source) AS next_i FROM b),
+met AS (SELECT p.project, p.source, p.next_source, p.next_i AS i, a.i AS j, a.run AS ra, f.run AS rb, least(len(a.run), len(f.run), p.next_i - a.i) AS n FROM p JOIN r a ON a.project = p.project AND a.source = p.source AND p.last_end - a.i * 400 <= 90000 JOIN r f ON f.project = p.project AND f.i = p.next_i),{MATCH_SQL}
+SELECT project, source, next_source, i, count(*) AS n_tail, max(j) FILTER (matches >= 3 AND (matches >= 5 OR content > 0)) AS nearest FROM mt GROUP BY project, source, next_source, i""")
 def cross_source_repeat(spark, sf_dir):
     """The opening run of each turn against the turn before, as far back as the lookback: ``nearest`` is its nearest repeat."""
     w = repeats.runs(talk(spark, sf_dir))
@@ -375,8 +395,10 @@ def fuzzy_ratio(spark, sf_dir):
     return fuzzy_pairs(talk(spark, sf_dir).select("norm"))
 
 
-@query(f"""WITH {WORDS_SQL}, sn AS (SELECT source, sent, string_agg(norm, ' ' ORDER BY i) AS s FROM words GROUP BY source, sent), bt AS (SELECT item_id, regexp_replace(lower(text), '\\p{{P}}', '', 'g') AS t FROM benchmark)
-SELECT bt.item_id, count(DISTINCT sn.source) AS n_sources FROM bt LEFT JOIN sn ON sn.s = regexp_replace(bt.t, '\\s+', ' ', 'g') GROUP BY bt.item_id""")
+@query(f"""WITH {WORDS_SQL}, sn AS (SELECT source, sent, string_agg(norm, ' ' ORDER BY i) AS s FROM words GROUP BY source, sent),
+bt AS (SELECT item_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ls FROM benchmark),
+ln AS (SELECT item_id, unnest(range(len(ls))) AS line, ls[line + 1] AS t FROM bt), nn AS (SELECT item_id, line, array_to_string(list_transform(string_split_regex(t, '\\s+'), lambda x: regexp_replace(lower(x), '\\p{{P}}', '', 'g')), ' ') AS s FROM ln)
+SELECT item_id, CAST(line AS INTEGER) AS line, count(DISTINCT sn.source) AS n_sources FROM nn LEFT JOIN sn ON sn.s = nn.s GROUP BY item_id, line""")
 def script_missing(spark, sf_dir):
     """How many documents say each script line, a sentence of an item, as one sentence (0: missing)."""
     w = words(spark, sf_dir)
