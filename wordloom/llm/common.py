@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder; a temporary one only on one machine whose session names none."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         place = tempfile.mkdtemp(prefix="wordloom-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(place)
@@ -82,9 +84,10 @@ def runs(batches, keys: list[str]):
 
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of plans that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.1)
+    for _ in range(2):  # the cleaner works through a queue that a first collection fills
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession, rows: int, per: int) -> int:
