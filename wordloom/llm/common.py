@@ -61,6 +61,17 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
+def packed40(values: np.ndarray) -> bytes:
+    """The low five bytes of each value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked40(blob: bytes) -> np.ndarray:
+    raw = np.zeros((len(blob) // 5, 8), dtype=np.uint8)
+    raw[:, :5] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 5)
+    return raw.view("<u8").ravel()
+
+
 def runs(batches, keys: list[str]):
     """Record batches sorted by ``keys`` to one table a key."""
     held: list[pa.Table] = []

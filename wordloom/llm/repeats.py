@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stored, table
+from .common import packed40, release, stored, table, unpacked40
 
 WINDOW = 13
 MANY = 64  #: entries of a hash in one flush that make it hot without an indexed block
@@ -63,16 +63,6 @@ def rolling(words: list[bytes], block: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _pack5(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack5(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // 5, 8), dtype=np.uint8)
-    raw[:, :5] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 5)
-    return raw.view("<u8").ravel()
-
-
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
@@ -139,8 +129,8 @@ def _probes(block: int, ranges: int):
                 order, settled, on, anchors = _settled(h, own[docs], anchors)
                 h, docs = h[order], docs[order]
                 to = ((h >> np.uint64(44)) % np.uint64(ranges)).astype(np.int64)
-                yield from _dealt(own, docs[on], to[on], h[on], _pack5, anchors[on], _bits)
-                yield from _dealt(own, docs[settled], np.full(int(settled.sum()), _aside(ranges, number)), h[settled], _pack5, anchors[settled], _bits)
+                yield from _dealt(own, docs[on], to[on], h[on], packed40, anchors[on], _bits)
+                yield from _dealt(own, docs[settled], np.full(int(settled.sum()), _aside(ranges, number)), h[settled], packed40, anchors[settled], _bits)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -170,13 +160,13 @@ def _hot(ranges: int):
         """Step 1, one range: ``(doc_id, hashes)`` of hot blocks."""
         hashes, ids, anchors = [], [], []
         for own, docs, packed, indexed in zip(*(rows[c].to_pylist() for c in ("ids", "docs", "keys", "extra"))):
-            h = _unpack5(packed)
+            h = unpacked40(packed)
             hashes.append(h)
             ids.append(_owners(own, docs)[:, 0])
             anchors.append(np.unpackbits(np.frombuffer(indexed, dtype=np.uint8), count=len(h)).astype(bool))
         h, d, a = np.concatenate(hashes), np.concatenate(ids), np.concatenate(anchors)
         if rows["range"][0].as_py() >= ranges:  # settled by the flush
-            return _by_doc(d, h, _pack5)
+            return _by_doc(d, h, packed40)
         order = np.lexsort((d, h))
         h, d, a = h[order], d[order], a[order]
         new = np.ones(len(h), dtype=bool)
@@ -187,7 +177,7 @@ def _hot(ranges: int):
         hot = (d[first] != d[last]) & np.logical_or.reduceat(a, first)
         keep = hot[group]
         keep[1:] &= (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        return _by_doc(d[keep], h[keep], _pack5)
+        return _by_doc(d[keep], h[keep], packed40)
 
     return run
 
@@ -241,7 +231,7 @@ def _extend(block: int, window: int):
                 starts = np.zeros(0, dtype=np.int64)
                 if hits and len(words) >= window:
                     low = rolling(words, block) & np.uint64((1 << 40) - 1)
-                    at = np.nonzero(np.isin(low, _unpack5(b"".join(hits))))[0]
+                    at = np.nonzero(np.isin(low, unpacked40(b"".join(hits))))[0]
                     mark = np.zeros(len(words) + window, dtype=np.int64)
                     np.add.at(mark, np.maximum(at - (window - block), 0), 1)
                     np.add.at(mark, at + 1, -1)

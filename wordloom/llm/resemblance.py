@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, discard, distinct, partitions, release, runs, stored
+from .common import components, discard, distinct, packed40, partitions, release, runs, stored, unpacked40
 from .decontaminate import grams
 
 WIDTH = 5
@@ -41,6 +41,7 @@ FURTHER = 8  #: keys that split a bucket of several groups
 SLACK = 0.65  #: least share of equal sketch bytes of a pair whose sets are compared
 BLOCK = 2000  #: most nodes of a group
 HEAVY = 2_000_000  #: most shingles of a group of several nodes, on average
+_LOW40 = np.uint64((1 << 40) - 1)  #: sets travel as 40-bit hashes
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(11)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,7 +92,7 @@ def _keyed(batches):
 
 def _sets(batches):
     for batch in batches:
-        own = [distinct(shingles(_words(t))).tobytes() for t in batch.column(1).to_pylist()]
+        own = [packed40(distinct(shingles(_words(t)) & _LOW40)) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["same", "own"])
 
 
@@ -127,7 +128,7 @@ def _grouped(similarity: float):
             if (label == label[0]).all():
                 continue
             low = np.frombuffer(b"".join(rows["low"].to_pylist()), dtype=np.uint8).reshape(len(label), -1)
-            edges = joined(label, low, [np.frombuffer(s, dtype=np.uint64) for s in rows["own"].to_pylist()], similarity)
+            edges = joined(label, low, [unpacked40(s) for s in rows["own"].to_pylist()], similarity)
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
