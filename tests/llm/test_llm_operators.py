@@ -47,8 +47,9 @@ def empty(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(41)} == {0} and {got[k] for k in range(100, 160)} == {100} and got[201] == 200
+    for few in (0, 10_000):  # by rounds, and by one task
+        got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert {got[i] for i in range(41)} == {0} and {got[k] for k in range(100, 160)} == {100} and got[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -17,7 +17,8 @@ Base: add-one unigrams over tokens (words with A-Z lowered and one end token a d
 over all training documents.  Tokens are named by a 64-bit hash.  The most frequent ones (at most
 ``FREQUENT``) are broadcast, so that they need no shuffle and cannot skew it; all others are joined.
 
-Null texts are empty.  Rows that repeat in full give a row each.  With no training documents every
+Null texts are empty.  Rows that repeat in full, share an id or have none give a row each.  Contexts
+are bytes of the text as it is (only the base lowers A-Z).  Other columns are not read.  With no training documents every
 decision has probability one half and the base score is that of empty counts.
 """
 

@@ -183,11 +183,12 @@ def _blocks(items: DataFrame, limit: int):
     """Items in blocks of at most ``limit`` bytes of text (one item at least), by id."""
     rows, size = [], 0
     for r in items.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("item_id").toLocalIterator():
-        if rows and size + len(r.text) > limit:
+        many = len(r.text.encode())
+        if rows and size + many > limit:
             yield rows
             rows, size = [], 0
         rows.append((r.item_id, r.text))
-        size += len(r.text)
+        size += many
     if rows:
         yield rows
 

@@ -11,7 +11,9 @@ their edges are settled first (no cut can move them), so the flow runs on what i
 Text: character references decoded, white space inside a block made one space, blocks joined in
 page order by an empty line; nothing else is dropped or shortened.  Null or empty html, pages
 without text and pages that are all boilerplate give an empty text.  Markup is read leniently:
-unclosed and stray tags, quotes and comments never raise.  Repeated rows are extracted once each.
+unclosed and stray tags, quotes and comments never raise.  Repeated rows and rows with null ids are
+extracted once each, by their own html; a tie of the cut goes to content.  Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations

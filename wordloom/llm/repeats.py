@@ -21,7 +21,7 @@ gathers does not grow with the corpus.
 Null, empty and blank texts have no words (``n_words`` 0 and the digest of no bytes).  Rows that
 share a doc_id, with equal or different texts, are judged each by its own text, and only a smaller
 id removes.  A null id is no smaller
-than any other and owns nothing.
+than any other and owns nothing.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

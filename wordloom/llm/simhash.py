@@ -19,6 +19,7 @@ Equal fingerprints are one node throughout (its smallest id), whatever the numbe
 Null and empty texts, and texts of white space, have fingerprint zero and are linked like others.
 Rows repeated in full keep one row each.  Rows with a null id are linked by their texts like others;
 the smallest id of a component is taken over the ids that are not null, and is null if all are.
+Only the id and the text are read; other columns, whatever their names, are not.
 """
 
 from __future__ import annotations
