@@ -16,4 +16,4 @@ QUERIES = {
     "op9_ctw_scoring": ctw.op9_ctw_scoring,
     "op10_seed_align_decontamination": decontaminate.op10_seed_align_decontamination,
 }
-SQL = {"op8_license_scan": licenses.oracle()}
+SQL = {"op7_fixed_block_dedup": repeats.oracle(), "op8_license_scan": licenses.oracle()}

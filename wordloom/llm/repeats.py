@@ -334,3 +334,14 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op7_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The same rows in DuckDB SQL, by grouping every window's words (ids are taken to be unique)."""
+    return f"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + {window}], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(len(ws) - {window - 1})) AS i FROM w WHERE len(ws) >= {window})),
+    f AS (SELECT s, min(doc_id) AS owner FROM g GROUP BY s),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS p FROM (SELECT DISTINCT g.doc_id, g.i FROM g JOIN f ON f.s = g.s WHERE f.owner < g.doc_id)),
+    left_ AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.p) AS t, count(*) AS n FROM (SELECT doc_id, i AS p, ws[i + 1] AS word FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM w)) p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.p = p.p WHERE gone.p IS NULL GROUP BY p.doc_id)
+    SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(len(w.ws) - coalesce(l.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(l.t, '')) AS kept_sha256 FROM w LEFT JOIN left_ l ON l.doc_id = w.doc_id"""
