@@ -206,3 +206,30 @@ def voice_end(spark, sf_dir):
     w = g.groupBy("source", F.floor(F.col("k") / 10).cast("long").alias("word")).agg(F.min(F.when(~F.col("quiet"), F.col("k"))).alias("voiced"))
     # a run belongs to one word, so this is an equi-join
     return w.join(runs, ["source", "word"], "left").groupBy("source", "word").agg(F.min(F.when(F.col("a") > F.col("voiced"), F.col("a"))).alias("voice_end"))
+
+
+@query(f"""WITH {WORDS_SQL}, {GROUP_SQL} SELECT r.source, r.range_no, 'take' || r.source || '.mov' AS name, r.in_ms, r.out_ms FROM ranges r JOIN documents d ON d.doc_id = r.source""")
+def predicted_spans(spark, sf_dir):
+    """Ranges by file name; a source that the catalog does not have raises."""
+    catalog = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.format_string("take%d.mov", F.col("doc_id")).alias("file"))
+    name = F.coalesce("file", F.raise_error(F.concat(F.lit("unknown source: "), F.col("source").cast("string"))).cast("string"))
+    return _ranges(spark, sf_dir).join(catalog, "source", "left").select("source", "range_no", name.alias("name"), "in_ms", "out_ms")
+
+
+@query(f"""WITH {WORDS_SQL}, {_DROPS}, {GROUP_SQL}, s AS (SELECT source, max("end") AS ms, count(DISTINCT sent // 5) AS chapters, count(*) AS words FROM words GROUP BY source), o AS (SELECT source, sum(out_ms - in_ms) AS ms, count(*) AS n FROM ranges GROUP BY source), d AS (SELECT source, count(*) AS n, count(*) FILTER (n = 2) AS short FROM dr GROUP BY source)
+SELECT d0.source AS project, count(*) AS sources, CAST(sum(s.words) AS BIGINT) AS words, CAST(sum(s.chapters) AS BIGINT) AS chapters, CAST(sum(o.n) AS BIGINT) AS ranges, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS drops, CAST(coalesce(sum(d.short), 0) AS BIGINT) AS filler_drops,
+round(sum(s.ms) / 1000.0, 3) AS raw_s, round(sum(o.ms) / 1000.0, 3) AS output_s, round(CASE WHEN sum(s.ms) = 0 THEN 0.0 ELSE sum(o.ms) / CAST(sum(s.ms) AS DOUBLE) END, 6) AS speech_share
+FROM s JOIN documents d0 ON d0.doc_id = s.source LEFT JOIN o ON o.source = s.source LEFT JOIN d ON d.source = s.source GROUP BY d0.source""")
+def run_counts(spark, sf_dir):
+    """The run's counters of every project: words, chapters, ranges, drops, seconds and the share of speech."""
+    w = words(spark, sf_dir)
+    s = w.groupBy("source").agg(F.max("end").alias("ms"), F.count_distinct(F.floor(F.col("sent") / 5)).alias("chapters"), F.count("*").alias("words"))
+    o = _ranges(spark, sf_dir).groupBy("source").agg(F.sum(F.col("out_ms") - F.col("in_ms")).alias("out"), F.count("*").alias("ranges"))
+    d = _drops(w).groupBy("source").agg(F.count("*").alias("drops"), F.count_if(F.col("n") == 2).alias("short"))
+    p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.col("source").alias("project"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    share = F.when(total("ms") == 0, 0.0).otherwise(total("out") / total("ms"))
+    return s.join(p, "source").join(o, "source", "left").join(d, "source", "left").groupBy("project").agg(
+        F.count("*").alias("sources"), total("words").alias("words"), total("chapters").alias("chapters"), total("ranges").alias("ranges"), total("drops").alias("drops"), total("short").alias("filler_drops"),
+        F.round(total("ms") / 1000, 3).alias("raw_s"), F.round(total("out") / 1000, 3).alias("output_s"), F.round(share, 6).alias("speech_share"),
+    )
