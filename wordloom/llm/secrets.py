@@ -4,12 +4,15 @@ Base patterns (assignments, access keys, long hex) are found first; their spans
 method adds random-looking tokens that no base span touches.  A candidate is a run of at least
 ``LEAST`` base-64 characters.  Its encoding is inferred from the characters it has, and in that
 alphabet of k symbols three tests are made: chi-squared uniformity, the runs test about the
-alphabet's middle, and lag-1 serial correlation.  A token is compared with ordinary text of its
-length and encoding: there the chi-squared statistic is non-central, with the excess per character
-that the candidates of that encoding show over the whole corpus, so a short token cannot look
-random by having too few characters for the test.  The tail probability counts only if runs and
-serial correlation do not contradict randomness.  Benjamini-Hochberg control at ``FDR`` then runs
-inside each (encoding, length band), on counts of binned probabilities from all documents.
+alphabet's middle, and lag-1 serial correlation.  The battery's statistic is their sum, chi-squared
+plus the squares of the other two z: in a random token the three do not depend on each other
+(composition, then order) and the sum is chi-squared with k + 1 degrees of freedom.  A token is
+compared with ordinary text of its length and encoding: there the statistic is non-central, with the
+excess per character that the candidates of that encoding show over the whole corpus, so a short
+token cannot look random by having too few characters for the test.  Where runs or serial
+correlation alone reject randomness (|z| over ``LIMIT_Z``, as in an alphabet written out) the token
+is no discovery whatever the sum says.  Benjamini-Hochberg control at ``FDR`` then runs inside each
+(encoding, length band), on counts of binned probabilities from all documents.
 
 Everything runs on DataFrame expressions.  Spans are code points, end exclusive.  Only sums per
 stratum (at most 6 encodings x 8 bands) and bins come to the driver.  Null and empty texts have no
@@ -121,11 +124,20 @@ def _battery(found: Column) -> Column:
     )
 
 
+def _sum(c: Column) -> Column:
+    """The battery's statistic: chi-squared of ``df + 2`` degrees of freedom for a random token."""
+    return c["chi2"] + c["runs"] * c["runs"] + c["serial"] * c["serial"]
+
+
+def _ordered_like_random(c: Column) -> Column:
+    return (F.abs(c["runs"]) <= LIMIT_Z) & (F.abs(c["serial"]) <= LIMIT_Z)
+
+
 def _score(c: Column, excess: Column) -> Column:
-    """Bin of -log10 of the probability that ordinary text is as uniform as the candidate."""
-    shift = (c["n"] - 1) * excess
-    z = (c["chi2"] - c["df"] - shift) / F.sqrt(2 * c["df"] + 4 * shift)
-    p = F.when((F.abs(c["runs"]) > LIMIT_Z) | (F.abs(c["serial"]) > LIMIT_Z), 0.0).otherwise(-_normal_log10_tail(z))
+    """Bin of -log10 of the probability that ordinary text passes the battery as well as the candidate."""
+    shift, df = (c["n"] - 1) * excess, c["df"] + 2
+    z = (_sum(c) - df - shift) / F.sqrt(2 * df + 4 * shift)
+    p = F.when(_ordered_like_random(c), -_normal_log10_tail(z)).otherwise(0.0)
     return F.least(F.floor(p * BIN), F.lit(BINS)).cast("int")
 
 
@@ -136,9 +148,13 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def excesses(spans: DataFrame) -> dict[int, float]:
-    """Excess chi-squared per character of each encoding over all candidates, at least that of letters."""
-    c = spans.select(F.explode("candidates").alias("c")).select("c.*")
-    rows = c.groupBy("encoding").agg(F.sum(F.col("chi2") - F.col("df")).alias("x"), F.sum(F.col("n") - 1).alias("n")).collect()
+    """Excess of the battery's statistic per character of each encoding, at least that of letters.
+
+    Over all candidates that could be a discovery: one whose order tests reject randomness (a rule of
+    dashes, say) would stretch the null distribution of all others.
+    """
+    c = spans.select(F.explode(F.filter("candidates", _ordered_like_random)).alias("c"))
+    rows = c.groupBy("c.encoding").agg(F.sum(_sum(F.col("c")) - F.col("c.df") - 2).alias("x"), F.sum(F.col("c.n") - 1).alias("n")).collect()
     return {r.encoding: max(least_excess(r.encoding), r.x / r.n) for r in rows}
 
 
