@@ -321,6 +321,26 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licence_texts_whole_edited_and_cut(spark):
+    texts, rng = {label: text.split() for label, _, text in licenses.TEXTS}, random.Random(3)
+    rows, want = [], {}
+    for label, words in texts.items():
+        phrase = next(p for name, p, _ in licenses.TEXTS if name == label)
+        at = next(i for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+        fixed = range(at, at + len(phrase.split()))
+        edited = [w if i in fixed or rng.random() > 0.15 else "edited" for i, w in enumerate(words)]
+        for made, there in ((words, True), (edited, True), (words[:at] + words[fixed[-1] :], False), (phrase.split(), len(phrase.split()) > 0.9 * len(words))):
+            want[len(rows)] = (label, there)
+            rows.append((len(rows), "Some words before. " + " ".join(made).upper() + ", and after."))
+    rows += [(1000, " ".join(texts["mit-text"][3:])), (1001, "mit license, nothing else")]  # a file may begin inside a text
+    rows += [(2000 + i, f"ordinary words of document {i} and no licence") for i in range(100)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, (label, there) in want.items():
+        assert (label in got[doc].labels.split(",")) == there, (doc, label, got[doc])
+    assert "mit-text" in got[1000].labels and got[1000].score > got[1001].score > 0
+    assert got[0].score >= got[1].score and all(got[2000 + i].score == 0 for i in range(100))
+
+
 def test_ctw_base_and_model(docs, spark, empty):
     held = ctw.fold("doc_id") % 7 == 2
     got = ctw.score(docs, ctw.learn(docs.where(~held))).collect()
