@@ -173,3 +173,34 @@ def test_fuzzy_pairs_match_all_pairs(spark):
     want = {(r.a, r.b) for r in a.crossJoin(b).where("a < b AND a <> ''").where(T.ratio(F.col("a"), F.col("b")) >= 85).collect()}
     got = [(r.a, r.b) for r in catalogue.fuzzy_pairs(v).collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(len(x) <= 8 for x, _ in want)
+
+
+def test_split_on_zones_matches_a_plain_loop(spark):
+    rng = random.Random(8)
+    words, zones, want = [], [], []
+    for source in range(6):
+        at, made, number = 0, [], 0
+        for i in range(60):
+            at += rng.choice([20, 100, 300, 700, 900])
+            end = at + rng.choice([0, 1, 120, 251])
+            number += rng.random() < 0.1
+            made.append((source, i, at, end, number))
+            at = end
+        spots = [(source, t, t + rng.choice([0, 100, 300])) for t in sorted(rng.sample(range(at), 40))] if source else []
+        words, zones = words + made, zones + spots
+        pieces = [[w for w in made if w[4] == n] for n in sorted({w[4] for w in made})]
+        for _, zs, ze in spots:
+            parts = []
+            for piece in pieces:
+                left = [w for w in piece if w[2] + w[3] < 2 * zs]
+                right = [w for w in piece if w[2] + w[3] > 2 * ze]
+                clear = left and right and len(left) + len(right) == len(piece) and left[-1][3] + 120 <= zs and ze <= right[0][2] - 80
+                parts += [left, right] if clear else [piece]
+            pieces = parts
+        want += [(source, piece[0][1], piece[-1][1]) for piece in pieces]
+    w = spark.createDataFrame(words, "source long, i long, start long, end long, range_no long")
+    made = timeline.split_on_zones(w, spark.createDataFrame(zones, "source long, zs long, ze long"))
+    got = made.groupBy("source", "range_no").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    assert sorted((r.source, r.a, r.b) for r in got.collect()) == sorted(want)
+    assert len(want) >= len({(w[0], w[4]) for w in words}) + 10  # zones did split ranges
+    assert timeline.split_on_zones(w, spark.createDataFrame([], "source long, zs long, ze long")).select("source", "range_no").distinct().count() == w.select("source", "range_no").distinct().count()

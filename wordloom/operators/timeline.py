@@ -19,6 +19,27 @@ def group(words: DataFrame, max_gap_ms: int = 400, dropped: str | None = None) -
     return w.groupBy("source", "range_no").agg(F.min("i").alias("first_word"), F.max("i").alias("last_word"), F.min("start").alias("in_ms"), F.max("end").alias("out_ms"), F.count("*").alias("n_words"))
 
 
+def split_on_zones(words: DataFrame, zones: DataFrame, head_ms: int = 80, tail_ms: int = 120) -> DataFrame:
+    """Words ``source, i, start, end, range_no`` with ranges split where a zone ``source, zs, ze`` can be left out.
+
+    A zone parts two words in a row of a range if no midpoint is in it and both sides can clear it:
+    the word before ends at least ``tail_ms`` before the zone, the word behind starts at least
+    ``head_ms`` after it.  For each pause the earliest end of the zones that start late enough
+    decides, by one window over words and zones, latest first.  ``range_no`` is numbered anew from 0.
+    """
+    order = Window.partitionBy("source").orderBy("i")
+    before = lambda c: F.when(F.lag("range_no").over(order) == F.col("range_no"), F.lag(c).over(order))
+    w = words.select("source", "i", "start", "end", "range_no", before("start").alias("_start"), before("end").alias("_end"))
+    at = F.greatest(F.col("_end") + tail_ms, F.floor((F.col("_start") + F.col("_end")) / 2) + 1)
+    w = w.select("source", "i", "start", "end", "range_no", F.when(F.col("_end").isNotNull(), at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_ze"))
+    both = w.unionByName(zones.select("source", F.col("zs").cast("long").alias("_at"), F.lit(1).alias("_side"), F.col("ze").cast("long").alias("_ze")), allowMissingColumns=True)
+    late = Window.partitionBy("source").orderBy(F.col("_at").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    free = F.least(F.col("start") - head_ms, F.floor((F.col("start") + F.col("end") - 1) / 2))
+    parted = both.withColumn("_parted", F.col("_at").isNotNull() & F.coalesce(F.min("_ze").over(late) <= free, F.lit(False))).where("_side = 0")
+    breaks = F.col("_parted") | (F.lag("range_no").over(order) != F.col("range_no"))
+    return islands.number(parted, ["source"], ["i"], breaks, "_piece").select("source", "i", "start", "end", F.col("_piece").alias("range_no"))
+
+
 def cut_points(ranges: DataFrame, words: DataFrame, head_ms: int = 80, tail_ms: int = 120) -> DataFrame:
     """Pads each range, but not into the words before and after it (kept or dropped)."""
     order = Window.partitionBy("source").orderBy("i")
@@ -82,11 +103,11 @@ def remove_tiny(ranges: DataFrame, least: int = 6, max_gap: int = 12) -> DataFra
 
 def attach(markers: DataFrame, ranges: DataFrame) -> DataFrame:
     """Markers ``source, at_word`` to the range that holds the word, else the first later one, else the last."""
-    order = Window.partitionBy("source").orderBy("_at", "_side")
-    later = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # latest first: a frame that grows is read once, one that shrinks is read again for every row
+    later = Window.partitionBy("source").orderBy(F.col("_at").desc(), F.col("_side").desc(), F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, 0)
     r = ranges.select("source", F.col("last_word").alias("_at"), F.lit(1).alias("_side"), F.col("range_no").alias("_range"))
     m = markers.select("source", F.col("at_word").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_range"))
     both = r.unionByName(m)
     everything = Window.partitionBy("source")
-    to = F.coalesce(F.first("_range", ignorenulls=True).over(later), F.max("_range").over(everything))
+    to = F.coalesce(F.last("_range", ignorenulls=True).over(later), F.max("_range").over(everything))
     return both.withColumn("range_no", to).where("_side = 0").select("source", F.col("_at").alias("at_word"), "range_no")

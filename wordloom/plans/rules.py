@@ -141,3 +141,23 @@ def cache_hit(spark, sf_dir):
     known = o.join(made, "o_orderkey", "left_semi").where(F.col("o_orderkey") % 5 != 0).select("o_orderkey", digest(F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus"))).alias("digest"), (2 - F.col("o_orderkey") % 2).alias("version"))
     state = F.when(F.col("digest").isNull(), "miss").when((F.col("digest") == digest(F.col("o_orderstatus"))) & (F.col("version") == 2), "hit").otherwise("stale")
     return o.join(known, "o_orderkey", "left").select(F.col("o_orderkey").alias("key"), state.alias("state"))
+
+
+@query(f"""WITH {WORDS_SQL.strip()},
+o AS (SELECT *, lag("start") OVER q AS ps, lag("end") OVER q AS pe FROM words WINDOW q AS (PARTITION BY source ORDER BY i)),
+r AS (SELECT *, CASE WHEN "start" - pe > 1000 THEN NULL ELSE greatest(pe + 120, (ps + pe) // 2 + 1) END AS lower FROM o),
+z AS (SELECT source, "end" + 250 AS zs, "end" + 550 AS ze FROM words WHERE regexp_matches(w, '[.?!,;:]$')),
+j AS (SELECT r.*, z.ze FROM r ASOF LEFT JOIN z ON r.source = z.source AND r.lower <= z.zs),
+b AS (SELECT *, CASE WHEN pe IS NULL THEN 0 WHEN lower IS NULL THEN 1 WHEN ze <= "start" - 80 AND 2 * ze < "start" + "end" THEN 1 ELSE 0 END AS b FROM j),
+n AS (SELECT *, sum(b) OVER (PARTITION BY source ORDER BY i ROWS UNBOUNDED PRECEDING) AS range_no FROM b)
+SELECT source, CAST(range_no AS BIGINT) AS range_no, CAST(min(i) AS BIGINT) AS first_word, CAST(max(i) AS BIGINT) AS last_word, CAST(count(*) AS BIGINT) AS n_words FROM n GROUP BY source, range_no""")
+def zone_split(spark, sf_dir):
+    """Ranges of words with pauses up to a second, split on zones that lie 250 to 550 ms behind a word with punctuation."""
+    from ..operators import islands, timeline
+
+    w = words(spark, sf_dir)
+    zones = w.where(F.col("w").rlike("[.?!,;:]$")).select("source", (F.col("end") + 250).alias("zs"), (F.col("end") + 550).alias("ze"))
+    ranges = islands.number(w, ["source"], ["i"], F.col("start") - islands.before("end", ["source"], ["i"]) > 1000, "range_no")
+    made = timeline.split_on_zones(ranges, zones)
+    count = made.groupBy("source", "range_no").agg(F.min("i").cast("long").alias("first_word"), F.max("i").cast("long").alias("last_word"), F.count("*").alias("n_words"))
+    return count.select("source", F.col("range_no").cast("long").alias("range_no"), "first_word", "last_word", "n_words")
