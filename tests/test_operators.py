@@ -204,3 +204,35 @@ def test_split_on_zones_matches_a_plain_loop(spark):
     assert sorted((r.source, r.a, r.b) for r in got.collect()) == sorted(want)
     assert len(want) >= len({(w[0], w[4]) for w in words}) + 10  # zones did split ranges
     assert timeline.split_on_zones(w, spark.createDataFrame([], "source long, zs long, ze long")).select("source", "range_no").distinct().count() == w.select("source", "range_no").distinct().count()
+
+
+def test_filler_spans_match_a_plain_loop(spark):
+    rng = random.Random(21)
+    listed, listed_phrases = ["um", "uh", "er"], [["you", "know"], ["um", "you"], ["er", "um", "so"], ["so", "so"], ["know", "um", "you"]]
+    rows, want = [], []
+    for source in range(8):
+        made, sent = [], 0
+        for i in range(150):
+            made.append((source, i, rng.choice(["um", "uh", "er", "you", "know", "so", "word"]), sent, 400 * i, 400 * i + 300, rng.random() < 0.15))
+            sent += rng.random() < 0.25
+        rows += made
+        kept = [w for w in made if not w[6]]
+        sole = [sum(v[3] == w[3] for v in kept) == 1 for w in kept]
+        k = 0
+        while k < len(kept):
+            fit = [n for n in (3, 2) for p in listed_phrases if len(p) == n and [w[2] for w in kept[k : k + n]] == p and not any(sole[k : k + n])]
+            to = k
+            if not sole[k] and fit:
+                to = k + fit[0]
+            elif not sole[k]:
+                while to < len(kept) and kept[to][2] in listed and not sole[to]:
+                    to += 1
+            if to > k:
+                long_ = kept[to - 1][5] - kept[k][4] > 1500
+                want.append((source, kept[k][1], kept[to - 1][1], "phrase" if fit else "run", "keep" if long_ else "drop"))
+            k = max(to, k + 1)
+    w = spark.createDataFrame(rows, "source long, i long, norm string, sent long, start long, end long, dropped boolean")
+    got = fillers.spans(w, listed, listed_phrases, dropped="dropped")
+    assert sorted((r.source, r.first_word, r.last_word, r.kind, r.action) for r in got.collect()) == sorted(want)
+    assert {"phrase", "run"} == {x[3] for x in want} and {"keep", "drop"} == {x[4] for x in want}
+    assert fillers.spans(w.limit(0), listed, listed_phrases).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import islands
+
 
 # Hesitation sounds.
 HUMS = ["um", "uh", "uhm", "umm", "erm", "hmm", "mhm", "mm", "ah", "eh", "er"]
@@ -42,6 +44,45 @@ def phrases(words: DataFrame, phrase: list[str]) -> DataFrame:
     return words.withColumn("_hit", hit).where("_hit").select("source", F.col("i").alias("first_word"), (F.col("i") + len(phrase) - 1).alias("last_word"))
 
 
+def spans(words: DataFrame, listed: list[str], listed_phrases: list[list[str]], most_ms: int = 1500, dropped: str | None = None) -> DataFrame:
+    """Filler phrases and runs of kept words, left to right and without overlaps in one source.
+
+    At each word the longest listed phrase goes first, then the run of listed words; dropped words
+    between do not break either, and a sentence's only kept word is part of none.  ``source,
+    first_word, last_word, kind, duration_ms, action``; a span longer than ``most_ms`` is kept.
+
+    A word can open a run only where the run starts or a phrase ends before it, so a run is one
+    candidate whatever its length.  Candidates that overlap form islands; the greedy choice is made
+    inside each of them.
+    """
+    order, falling = Window.partitionBy("source").orderBy("i"), Window.partitionBy("source").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    w = words if dropped is None else words.where(~F.col(dropped))
+    w = w.withColumn("_sole", F.count("*").over(Window.partitionBy("source", "sent")) == 1).withColumn("_k", F.row_number().over(order))
+    w = w.withColumn("_norm", F.when(~F.col("_sole"), F.col("norm"))).withColumn("_filler", F.coalesce(F.col("_norm").isin(listed), F.lit(False)))
+    size = F.lit(None).cast("int")
+    for phrase in sorted(listed_phrases, key=len):  # the longest is asked last, so first in effect
+        hit = F.col("_norm") == phrase[0]
+        for n, word in enumerate(phrase[1:], 1):
+            hit = hit & F.coalesce(F.lead("_norm", n).over(order) == word, F.lit(False))
+        size = F.when(hit, len(phrase)).otherwise(size)
+    w = w.withColumn("_size", size).withColumn("_stop", F.coalesce(F.last(F.when(~F.col("_filler"), F.col("_k")), ignorenulls=True).over(falling), F.max("_k").over(falling) + 1))
+    opens = ~F.coalesce(F.lag("_filler").over(order), F.lit(False))
+    for n in sorted({len(phrase) for phrase in listed_phrases}):
+        opens = opens | F.coalesce(F.lag("_size", n).over(order) == n, F.lit(False))
+    w = w.withColumn("_to", F.when(F.col("_size").isNotNull(), F.col("_k") + F.col("_size") - 1).when(F.col("_filler") & opens, F.col("_stop") - 1))
+    found = w.where("_to IS NOT NULL").select("source", "_k", "_to", F.when(F.col("_size").isNotNull(), "phrase").otherwise("run").alias("kind"))
+    by_start = Window.partitionBy("source").orderBy("_k")
+    found = islands.number(found.withColumn("_reach", F.max("_to").over(by_start.rowsBetween(Window.unboundedPreceding, -1))), ["source"], ["_k"], F.col("_k") > F.col("_reach"))
+    every = F.array_sort(F.collect_list(F.struct("_k", "_to", "kind")))
+    none = F.array().cast("array<struct<_k:int,_to:int,kind:string>>")
+    picked = F.aggregate("every", F.struct(F.lit(0).alias("end"), none.alias("out")), lambda a, c: F.when(c["_k"] > a["end"], F.struct(c["_to"].alias("end"), F.array_append(a["out"], c).alias("out"))).otherwise(a), lambda a: a["out"])
+    picked = found.groupBy("source", "island").agg(every.alias("every")).select("source", F.explode(picked).alias("s")).select("source", "s.*")
+    ends = w.select("source", "_k", F.col("i").alias("_i"), "start", "end")
+    out = picked.join(ends.select("source", "_k", F.col("_i").alias("first_word"), "start"), ["source", "_k"]).join(ends.select("source", F.col("_k").alias("_to"), F.col("_i").alias("last_word"), "end"), ["source", "_to"])
+    out = out.withColumn("duration_ms", F.col("end") - F.col("start"))
+    return out.select("source", "first_word", "last_word", "kind", "duration_ms", F.when(F.col("duration_ms") > most_ms, "keep").otherwise("drop").alias("action"))
+
+
 def kept(words: DataFrame, spans: DataFrame) -> DataFrame:
     """Words outside every dropped span ``source, first_word, last_word``."""
     gone = spans.select("source", F.explode(F.sequence("first_word", "last_word")).alias("i")).distinct()

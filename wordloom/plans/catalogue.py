@@ -256,6 +256,19 @@ def filler_runs(spark, sf_dir):
     return found.withColumn("first_word", F.col("first_word").cast("long")).withColumn("last_word", F.col("last_word").cast("long"))
 
 
+# no word of these phrases but the last is listed, so that phrases and runs overlap only in a run's first word
+@query(f"""WITH {WORDS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i) AS rn, count(*) OVER (PARTITION BY source, sent) > 1 AS free FROM words),
+p AS (SELECT *, coalesce(free AND norm IN ('of', 'to') AND lead(norm) OVER q = 'the' AND lead(free) OVER q, false) AS ph, lead("end") OVER q AS e2 FROM f WINDOW q AS (PARTITION BY source ORDER BY i)),
+c AS (SELECT *, free AND norm IN {LISTED} AND NOT coalesce(lag(ph) OVER (PARTITION BY source ORDER BY i), false) AS fl FROM p),
+g AS (SELECT *, rn - row_number() OVER (PARTITION BY source ORDER BY i) AS g FROM c WHERE fl),
+u AS (SELECT source, min(i) AS first_word, max(i) AS last_word, 'run' AS kind, max("end") - min("start") AS d FROM g GROUP BY source, g
+  UNION ALL SELECT source, i, i + 1, 'phrase', e2 - "start" FROM p WHERE ph)
+SELECT source, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, kind, CAST(d AS BIGINT) AS duration_ms, CASE WHEN d > 1500 THEN 'keep' ELSE 'drop' END AS action FROM u""")
+def filler_spans(spark, sf_dir):
+    found = fillers.spans(words(spark, sf_dir), ["er", "the", "de", "la", "ah", "um"], [["of", "the"], ["to", "the"]])
+    return found.withColumn("first_word", F.col("first_word").cast("long")).withColumn("last_word", F.col("last_word").cast("long"))
+
+
 @query(f"""WITH {WORDS_SQL}, x AS (SELECT *, bool_and(norm IN ('um', 'uh', 'uhm', 'umm', 'erm', 'hmm', 'mhm', 'mm', 'ah', 'eh', 'er')) OVER (PARTITION BY source, sent ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clear,
 lead(i) OVER (PARTITION BY source, sent ORDER BY i) AS nx FROM words) SELECT source, sent, CAST(i AS BIGINT) AS i, norm FROM x WHERE coalesce(clear, true) AND nx IS NOT NULL AND norm IN ('the', 'and', 'la', 'der')""")
 def filler_openers(spark, sf_dir):
