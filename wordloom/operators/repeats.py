@@ -17,10 +17,10 @@ from ..functions import text as T
 WINDOW, LEAST, MISSES, LOOKBACK_MS, AUTO_DROP_MS, MISSING = 20, 3, 5, 90_000, 20_000, 0.5
 
 
-def runs(words: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each word with the norms and sentence ends that follow it in its source, up to the window."""
+def runs(words: DataFrame, window: int = WINDOW, of: str = "norm") -> DataFrame:
+    """Each word with the norms (or codes ``of``) that follow it in its source, up to the window."""
     w = Window.partitionBy("project", "source").orderBy("i").rowsBetween(0, window - 1)
-    return words.withColumn("run", F.collect_list("norm").over(w))
+    return words.withColumn("run", F.collect_list(of).over(w))
 
 
 def candidates(words: DataFrame, window: int = WINDOW, least: int = LEAST, misses: int = MISSES, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
@@ -40,18 +40,43 @@ def candidates(words: DataFrame, window: int = WINDOW, least: int = LEAST, misse
     return good.groupBy("project", "source", "i").agg(F.max("j").alias("j"), best.alias("m")).select("project", "source", "i", "j", "m.matches", "m.mismatches")
 
 
-def accepted(met: DataFrame, least: int = LEAST, misses: int = MISSES) -> DataFrame:
+def accepted(met: DataFrame, least: int = LEAST, misses: int = MISSES, content=T.content) -> DataFrame:
     """The pairs ``i, j, run, run_j`` whose runs match acceptably, with ``matches`` and ``mismatches``."""
-    # three matches with no two misses in a row show within the first four words
+    return judged(met.where(_opening()), least, misses, content).where("ok")
+
+
+def _opening():
+    """Three matches with no two misses in a row show within the first four words."""
     c = [F.coalesce(F.try_element_at("run_j", F.lit(k)) == F.try_element_at("run", F.lit(k)), F.lit(False)) for k in (1, 2, 3, 4)]
-    met = met.where((c[0] & (c[1] | c[2])) | (c[1] & (c[2] | c[3])))
-    n = F.greatest(F.least(F.size("run_j"), F.size("run"), F.col("i") - F.col("j")), F.lit(0))
-    both = F.zip_with(F.slice("run_j", F.lit(1), n), F.slice("run", F.lit(1), n), lambda x, y: F.when(x != y, "0").when(T.content(x), "2").otherwise("1"))
-    met = met.withColumn("marks", F.array_join(both, ""))
+    return (c[0] & (c[1] | c[2])) | (c[1] & (c[2] | c[3]))
+
+
+def judged(met: DataFrame, least: int = LEAST, misses: int = MISSES, content=T.content) -> DataFrame:
+    """All pairs ``i, j, run, run_j`` with ``matches``, ``mismatches`` and whether that is acceptable, ``ok``."""
+    n = F.greatest(F.least(F.size("run_j"), F.size("run"), F.col("i") - F.col("j")), F.lit(0)).cast("int")
+    both = F.zip_with(F.slice("run_j", F.lit(1), n), F.slice("run", F.lit(1), n), lambda x, y: F.when(x != y, "0").when(content(x), "2").otherwise("1"))
+    met = met.withColumn("marks", F.when(_opening(), F.array_join(both, "")).otherwise(""))
     # a miss is tolerated only right before a match, and only so many times; the run ends at any other
     met = met.withColumn("head", F.regexp_extract("marks", "^[12]*(?:0[12]+){0," + str(misses) + "}", 0))
     met = met.withColumn("mismatches", F.length(F.regexp_replace("head", "[12]", ""))).withColumn("matches", F.length("head") - F.col("mismatches"))
-    return met.where((F.col("matches") >= least) & ((F.col("matches") >= 5) | F.col("head").contains("2")))
+    return met.withColumn("ok", (F.col("matches") >= least) & ((F.col("matches") >= 5) | F.col("head").contains("2")))
+
+
+def restarts(words: DataFrame, window: int = WINDOW, least: int = LEAST, misses: int = MISSES, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
+    """The opening run of each source against the source before, as far back as the lookback.
+
+    ``project, source, next_source, i, n_tail, nearest``: the places compared and the last that matches
+    acceptably.  A source's words travel as one row, and only its tail is cut to runs.
+    """
+    order = Window.partitionBy("project").orderBy("source")
+    said = words.groupBy("project", "source").agg(F.array_sort(F.collect_list(F.struct("i", "start", "norm"))).alias("said"), F.max("end").alias("last_end"))
+    said = said.select("project", "source", "said", "last_end", F.col("said.norm").alias("norms"))
+    p = said.select("project", "source", "said", "last_end", "norms", F.lead("source").over(order).alias("next_source"), F.lead(F.element_at("said", 1)["i"]).over(order).alias("i"), F.lead(F.slice("norms", 1, window)).over(order).alias("run")).where("i IS NOT NULL")
+    places = F.filter(F.sequence(F.lit(1), F.size("said")), lambda k: F.col("last_end") - F.element_at("said", k)["start"] <= lookback_ms)
+    tail = F.transform(places, lambda k: F.struct(F.element_at("said", k)["i"].alias("j"), F.slice("norms", k, window).alias("run_j")))
+    keys = ["project", "source", "next_source", "i"]
+    met = judged(p.select(*keys, "run", F.inline(tail)), least, misses)
+    return met.groupBy(*keys).agg(F.count("*").alias("n_tail"), F.max(F.when(F.col("ok"), F.col("j"))).alias("nearest"))
 
 
 def guarded(found: DataFrame, words: DataFrame) -> DataFrame:
