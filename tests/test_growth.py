@@ -58,3 +58,19 @@ def test_openings_meet_the_turn_before_without_a_broadcast_of_words(spark, tmp_p
             want[project, source, min(later), i] = (len(tail), max((j for j, own_run in tail if match(own_run, run, i - j)[2]), default=None))
     assert {(r.project, r.source, r.next_source, r.i): (r.n_tail, r.nearest) for r in found.collect()} == want
     assert any(x[1] is not None for x in want.values()) and any(x[1] is None for x in want.values())
+
+
+def test_candidates_shuffle_words_once_and_no_runs(spark, tmp_path):
+    conversations(spark, tmp_path)
+    found = repeats.candidates(catalogue.talk(spark, str(tmp_path)))
+    assert plan(found).count("Exchange") == 1 and "Join" not in plan(found)
+    want = {}
+    for (project, source), own in turns(spark, str(tmp_path)).items():
+        norms = [x for _, x in own]
+        for b in range(len(own)):
+            for a in range(b):
+                same, wrong, fits = match(norms[a : a + 20], norms[b : b + 20], b - a)
+                if (b - a) * 400 <= 90_000 and fits:
+                    want[project, source, own[b][0]] = (own[a][0], same, wrong)
+    assert {(r.project, r.source, r.i): (r.j, r.matches, r.mismatches) for r in found.collect()} == want
+    assert len(want) > 20

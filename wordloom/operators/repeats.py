@@ -24,18 +24,19 @@ def runs(words: DataFrame, window: int = WINDOW, of: str = "norm") -> DataFrame:
 
 
 def candidates(words: DataFrame, window: int = WINDOW, least: int = LEAST, misses: int = MISSES, lookback_ms: int = LOOKBACK_MS) -> DataFrame:
-    """The nearest acceptable earlier start for each word: ``project, source, i, j, matches, mismatches``."""
-    r = runs(words, window)
-    a = r.select("project", "source", F.col("i").alias("j"), F.col("start").alias("start_j"), F.col("run").alias("run_j"))
-    b = r.select("project", "source", "i", "start", "run")
-    met = None
-    for at in (1, 2):
-        left = a.withColumn("_key", F.try_element_at("run_j", F.lit(at))).where("_key IS NOT NULL")
-        right = b.withColumn("_key", F.try_element_at("run", F.lit(at))).where("_key IS NOT NULL")
-        part = left.join(right, ["project", "source", "_key"]).where("j < i").where(F.col("start") - F.col("start_j") <= lookback_ms)
-        part = part if at == 1 else part.where(F.element_at("run_j", 1) != F.element_at("run", 1))
-        met = part if met is None else met.unionByName(part)
-    good = accepted(met, least, misses)
+    """The nearest acceptable earlier start for each word: ``project, source, i, j, matches, mismatches``.
+
+    Runs meet in windows over the words of one norm in one source, as far back as the lookback, so that
+    all steps keep the words where their project lies and no run is shuffled.
+    """
+    # a norm's code in its source: twice the place where it stands first, and one more for content words
+    code = F.min("i").over(Window.partitionBy("project", "source", "norm")) * 2 + T.content(F.col("norm")).cast("int")
+    r = runs(words.select("project", "source", "i", "start", code.alias("code")), window, "code")
+    keyed = r.select("project", "source", "i", "start", "run", F.explode(F.array(F.lit(1), F.lit(2))).alias("at")).withColumn("_key", F.try_element_at("run", F.col("at"))).where("_key IS NOT NULL")
+    near = Window.partitionBy("project", "source", "at", "_key").orderBy("start").rangeBetween(-lookback_ms, 0)
+    near = keyed.withColumn("_near", F.collect_list(F.struct(F.col("i").alias("j"), F.col("run").alias("run_j"))).over(near))
+    met = near.select("project", "source", "i", "run", "at", F.inline("_near")).where("j < i").where((F.col("at") == 1) | (F.element_at("run_j", 1) != F.element_at("run", 1)))
+    good = accepted(met, least, misses, lambda x: x % 2 == 1)
     best = F.max_by(F.struct("matches", "mismatches"), "j")
     return good.groupBy("project", "source", "i").agg(F.max("j").alias("j"), best.alias("m")).select("project", "source", "i", "j", "m.matches", "m.mismatches")
 
