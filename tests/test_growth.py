@@ -74,3 +74,35 @@ def test_candidates_shuffle_words_once_and_no_runs(spark, tmp_path):
                     want[project, source, own[b][0]] = (own[a][0], same, wrong)
     assert {(r.project, r.source, r.i): (r.j, r.matches, r.mismatches) for r in found.collect()} == want
     assert len(want) > 20
+
+
+def test_fuzzy_keys_meet_for_pairs_only_and_long_words_too(spark):
+    rng = random.Random(11)
+    parts = ["th", "of", "an", "er", "tion", "es"]  # few syllables: short pieces are shared by most words
+    words = {"".join(rng.choices(parts, k=rng.randint(3, 5))) for _ in range(250)}
+    for length in (16, 20, 24, 40):
+        own = "".join(rng.choices("abcde", k=length))
+        words |= {own, own[1:], own[:5] + "x" + own[6:], own[:-3], own + "yz", "q" + own[2:]}
+    words = sorted(words)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+        return row[-1]
+
+    want = {(a, b): round(200 * common(a, b) / (len(a) + len(b)), 6) for n, a in enumerate(words) for b in words[n + 1 :]}
+    want = {pair: ratio for pair, ratio in want.items() if ratio >= 85}
+    got = catalogue.fuzzy_pairs(spark.createDataFrame([(w,) for w in words], "norm string"))
+    assert "Broadcast" not in plan(got)
+    assert {(r.a, r.b): r.ratio for r in got.collect()} == want and any(len(a) > 20 for a, _ in want)
+    lengths = sorted({len(w) for w in words if len(w) <= 13})
+    sides = [{(key, w) for w in words if len(w) <= 13 for key, _ in catalogue._fuzzy_words(w, side, lengths)} for side in (0, 1)]
+    by_key = {}
+    for key, w in sides[1]:
+        by_key.setdefault(key, set()).add(w)
+    met = {tuple(sorted((w, x))) for key, w in sides[0] for x in by_key.get(key, ()) if x != w}
+    assert met == {pair for pair in want if max(map(len, pair)) <= 13}

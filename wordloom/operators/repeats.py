@@ -85,7 +85,7 @@ def guarded(found: DataFrame, words: DataFrame) -> DataFrame:
     span = words.select("project", F.col("i").alias("at"), "source", "norm", "ends", "start", "end")
     keyed = found.select("project", "source", "i", "j", "matches", "mismatches")
     ahead = keyed.withColumn("at", F.explode(F.sequence("j", F.col("i") + (F.col("i") - F.col("j")) + 9)))
-    own = ahead.join(span.withColumnRenamed("source", "at_source"), ["project", "at"])
+    own = ahead.join(span.withColumnRenamed("source", "at_source").hint("merge"), ["project", "at"])  # a small file's words need not be small
     early = F.col("at") < F.col("i")
     again = (F.col("at") >= F.col("i")) & (F.col("at") < F.col("i") * 2 - F.col("j"))
     ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("at", "norm", "ends", "at_source")))), lambda x: x)
