@@ -2,7 +2,9 @@
 
 import random
 
-from wordloom.operators import repeats
+import duckdb
+
+from wordloom.operators import repeats, signal
 from wordloom.plans import catalogue
 
 
@@ -106,3 +108,14 @@ def test_fuzzy_keys_meet_for_pairs_only_and_long_words_too(spark):
         by_key.setdefault(key, set()).add(w)
     met = {tuple(sorted((w, x))) for key, w in sides[0] for x in by_key.get(key, ()) if x != w}
     assert met == {pair for pair in want if max(map(len, pair)) <= 13}
+
+
+def test_backgrounds_equal_the_sql_to_the_last_bit(spark):
+    rng = random.Random(4)
+    rows = [(source, k, rng.choice([None, round(rng.random() * 200, 2) / 3]) if source % 5 == 0 else round(rng.random() * 200, 2) / 3) for source in range(60) for k in range(rng.randint(1, 90))]
+    rows += [(99, k, None) for k in range(3)]
+    got = {r.source: r.background for r in signal.background(spark.createDataFrame(rows, "source long, k long, level double")).collect()}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE f (source BIGINT, level DOUBLE)")
+    db.executemany("INSERT INTO f VALUES (?, ?)", [(source, level) for source, _, level in rows])
+    assert got == dict(db.execute("SELECT source, quantile_cont(level, 0.1) FROM f GROUP BY source").fetchall())

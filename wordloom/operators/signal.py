@@ -15,7 +15,18 @@ def smooth(frames: DataFrame, half: int = 2) -> DataFrame:
 
 
 def background(frames: DataFrame, column: str = "level", share: float = 0.1) -> DataFrame:
-    return frames.groupBy("source").agg(F.percentile(column, share).alias("background"))
+    """The interpolated percentile of each source's values, null ones left out.
+
+    Rounded once as ``fma(low, 1 - d, high * d)``, as DuckDB does: where levels are compared with a
+    background plus a fixed step, equality is common and the last bit decides.
+    """
+    own = Window.partitionBy("source")
+    at = (F.count(column).over(own) - 1) * F.lit(share)
+    ranked = frames.select("source", F.col(column).cast("double").alias("_x"), at.alias("_at"), (F.row_number().over(own.orderBy(F.col(column).asc_nulls_last())) - 1).alias("_rank"))
+    found = ranked.groupBy("source").agg(F.first("_at").alias("_at"), F.max(F.when(F.col("_rank") == F.floor("_at"), F.col("_x"))).alias("_low"), F.max(F.when(F.col("_rank") == F.ceil("_at"), F.col("_x"))).alias("_high"))
+    d = F.col("_at") - F.floor("_at")
+    between = F.call_function("java_method", F.lit("java.lang.Math"), F.lit("fma"), F.col("_low"), 1 - d, F.col("_high") * d).cast("double")
+    return found.select("source", F.when((d == 0) | F.col("_low").isNull(), F.col("_low")).otherwise(between).alias("background"))
 
 
 def rolling_median(frames: DataFrame, width: int = 25, column: str = "level") -> DataFrame:
