@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from wordloom.operators import repeats, signal
+from wordloom.operators import repeats, signal, takes
 from wordloom.plans import catalogue
 
 
@@ -119,3 +119,11 @@ def test_backgrounds_equal_the_sql_to_the_last_bit(spark):
     db.execute("CREATE TABLE f (source BIGINT, level DOUBLE)")
     db.executemany("INSERT INTO f VALUES (?, ?)", [(source, level) for source, _, level in rows])
     assert got == dict(db.execute("SELECT source, quantile_cont(level, 0.1) FROM f GROUP BY source").fetchall())
+
+
+def test_takes_that_tie_in_score_and_first_word_go_to_the_later_last_word(spark):
+    rows = [(1, 0, 5, end, 90.0) for end in (7, 12, 9)] + [(1, 1, 5, end, 90.0) for end in (12, 7)]
+    for given in (rows, rows[::-1]):
+        t = spark.createDataFrame(given, "project long, sentence long, first_word long, last_word long, score double").coalesce(1)
+        for prefer in ("best", "last"):
+            assert sorted((r.sentence, r.last_word) for r in takes.chosen(t, prefer).collect()) == [(0, 12), (1, 12)]

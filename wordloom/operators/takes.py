@@ -16,8 +16,8 @@ def resolved(takes: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def chosen(takes: DataFrame, prefer: str = "best") -> DataFrame:
-    """One take a sentence: the best score (or the last), ties to the later first word."""
-    rank = F.struct("score", "first_word") if prefer == "best" else F.struct("first_word", "score")
+    """One take a sentence: the best score (or the last), ties to the later first, then the later last word."""
+    rank = F.struct("score", "first_word", "last_word") if prefer == "best" else F.struct("first_word", "score", "last_word")
     whole = F.struct(*[c for c in takes.columns if c not in ("project", "sentence")])
     return takes.groupBy("project", "sentence").agg(F.max_by(whole, rank).alias("t")).select("project", "sentence", "t.*")
 
