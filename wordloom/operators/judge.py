@@ -44,9 +44,12 @@ def contexts(words: DataFrame, spans: DataFrame) -> DataFrame:
     """``source, id, before, a, b, after`` for ``spans(source, id, sent)``: sentence-wise text around a span.
 
     ``before``: the two sentences ahead; ``a``: the span's; ``b``: the one that follows it (the later
-    take), ``after``: the next.  Sentence texts are made once and joined by number.
+    take), ``after``: the next.
     """
-    said = words.groupBy("source", "sent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ").alias("text"))
+    # words and spans meet in one aggregate by sentence: no join, and no shuffle where both lie by source
+    both = words.select("source", "sent", "i", "w").unionByName(spans.select("source", "sent", "id"), allowMissingColumns=True)
+    own = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "w"))))
+    said = both.groupBy("source", "sent").agg(F.array_join(F.transform(own, lambda x: x["w"]), " ").alias("text"), F.collect_list("id").alias("ids"), F.count("i").alias("n")).where("n > 0")
     w = Window.partitionBy("source").orderBy("sent")
-    near = said.select("source", "sent", F.concat_ws(" ", F.lag("text", 2).over(w), F.lag("text", 1).over(w)).alias("before"), F.col("text").alias("a"), F.lead("text", 1).over(w).alias("b"), F.lead("text", 2).over(w).alias("after"))
-    return spans.join(near, ["source", "sent"]).select("source", "id", "before", "a", "b", "after")
+    near = said.select("source", "ids", F.concat_ws(" ", F.lag("text", 2).over(w), F.lag("text", 1).over(w)).alias("before"), F.col("text").alias("a"), F.lead("text", 1).over(w).alias("b"), F.lead("text", 2).over(w).alias("after"))
+    return near.select("source", F.explode("ids").alias("id"), "before", "a", "b", "after")
