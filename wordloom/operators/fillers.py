@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import islands
+from . import intervals, islands
 
 
 # Hesitation sounds.
@@ -65,27 +65,33 @@ def spans(words: DataFrame, listed: list[str], listed_phrases: list[list[str]],
         for n, word in enumerate(phrase[1:], 1):
             hit = hit & F.coalesce(F.lead("_norm", n).over(order) == word, F.lit(False))
         size = F.when(hit, len(phrase)).otherwise(size)
-    w = w.withColumn("_size", size).withColumn("_stop", F.coalesce(F.last(F.when(~F.col("_filler"), F.col("_k")), ignorenulls=True).over(falling), F.max("_k").over(falling) + 1))
+    place = lambda k, i, end: F.struct(k.alias("to"), i.alias("last_word"), end.alias("end"))
+    w = w.withColumn("_size", size).withColumn("_before", place(F.col("_k") - 1, F.lag("i").over(order), F.lag("end").over(order)))
+    # a run ends before the next other word, else with the source
+    w = w.withColumn("_stop", F.coalesce(F.last(F.when(~F.col("_filler"), F.col("_before")), ignorenulls=True).over(falling), F.first(place(F.col("_k"), F.col("i"), F.col("end"))).over(falling)))
     opens = ~F.coalesce(F.lag("_filler").over(order), F.lit(False))
     for n in sorted({len(phrase) for phrase in listed_phrases}):
         opens = opens | F.coalesce(F.lag("_size", n).over(order) == n, F.lit(False))
-    w = w.withColumn("_to", F.when(F.col("_size").isNotNull(), F.col("_k") + F.col("_size") - 1).when(F.col("_filler") & opens, F.col("_stop") - 1))
-    found = w.where("_to IS NOT NULL").select("source", "_k", "_to", F.when(F.col("_size").isNotNull(), "phrase").otherwise("run").alias("kind"))
+    phrase_end = F.lit(None)
+    for n in {len(phrase) for phrase in listed_phrases}:
+        phrase_end = F.when(F.col("_size") == n, place(F.col("_k") + n - 1, F.lead("i", n - 1).over(order), F.lead("end", n - 1).over(order))).otherwise(phrase_end)
+    w = w.withColumn("_last", F.when(F.col("_size").isNotNull(), phrase_end).when(F.col("_filler") & opens, F.col("_stop")))
+    found = w.where("_last IS NOT NULL").select("source", "_k", F.col("_last.to").alias("_to"), F.when(F.col("_size").isNotNull(), "phrase").otherwise("run").alias("kind"), F.col("i").alias("first_word"), "_last.last_word", "start", "_last.end")
     by_start = Window.partitionBy("source").orderBy("_k")
     found = islands.number(found.withColumn("_reach", F.max("_to").over(by_start.rowsBetween(Window.unboundedPreceding, -1))), ["source"], ["_k"], F.col("_k") > F.col("_reach"))
-    every = F.array_sort(F.collect_list(F.struct("_k", "_to", "kind")))
-    none = F.array().cast("array<struct<_k:int,_to:int,kind:string>>")
+    every = F.array_sort(F.collect_list(F.struct("_k", "_to", "kind", "first_word", "last_word", "start", "end")))
+    none = F.filter("every", lambda c: F.lit(False))
     picked = F.aggregate("every", F.struct(F.lit(0).alias("end"), none.alias("out")), lambda a, c: F.when(c["_k"] > a["end"], F.struct(c["_to"].alias("end"), F.array_append(a["out"], c).alias("out"))).otherwise(a), lambda a: a["out"])
-    picked = found.groupBy("source", "island").agg(every.alias("every")).select("source", F.explode(picked).alias("s")).select("source", "s.*")
-    ends = w.select("source", "_k", F.col("i").alias("_i"), "start", "end")
-    out = picked.join(ends.select("source", "_k", F.col("_i").alias("first_word"), "start"), ["source", "_k"]).join(ends.select("source", F.col("_k").alias("_to"), F.col("_i").alias("last_word"), "end"), ["source", "_to"])
+    out = found.groupBy("source", "island").agg(every.alias("every")).select("source", F.inline(picked))
     out = out.withColumn("duration_ms", F.col("end") - F.col("start"))
     return out.select("source", "first_word", "last_word", "kind", "duration_ms", F.when(F.col("duration_ms") > most_ms, "keep").otherwise("drop").alias("action"))
 
 
-def kept(words: DataFrame, spans: DataFrame) -> DataFrame:
-    """Words outside every dropped span ``source, first_word, last_word``."""
-    gone = spans.select("source", F.explode(F.sequence("first_word", "last_word")).alias("i")).distinct()
-    return words.join(gone, ["source", "i"], "left_anti")
+def marked(words: DataFrame, spans: DataFrame, name: str = "dropped") -> DataFrame:
+    """Words with a column ``name``: whether a dropped span ``source, first_word, last_word`` holds them."""
+    return intervals.held(words, spans, ["source"], "i", "first_word", "last_word", name, closed=True)
 
 
+def kept(words: DataFrame, spans: DataFrame) -> DataFrame:
+    """Words outside every dropped span ``source, first_word, last_word``."""
+    return marked(words, spans, "_dropped").where("NOT _dropped").drop("_dropped")

@@ -20,6 +20,19 @@ def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: s
     return placed.join(cut, [*by, "_bucket"]).where((F.col(at) >= F.col(start)) & held).drop("_bucket")
 
 
+def held(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, name: str, closed: bool = False) -> DataFrame:
+    """``points`` with a column ``name``: whether any interval ``[start, end)`` (or ``[start, end]``) holds the point.
+
+    Both stand in one window in order, in which the furthest end so far decides; where both already lie
+    by ``by``, nothing is shuffled, and no interval is spread over its points.
+    """
+    place = spans.select(*by, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.col(end).alias("_until"))
+    both = points.withColumn("_at", F.col(at)).withColumn("_side", F.lit(1)).unionByName(place, allowMissingColumns=True)
+    until = F.max("_until").over(Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    inside = until >= F.col("_at") if closed else until > F.col("_at")
+    return both.withColumn(name, F.coalesce(inside, F.lit(False))).where("_side = 1").select(*points.columns, name)
+
+
 def next_at_or_after(points: DataFrame, marks: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
     """For each point the smallest ``value`` of ``marks`` with ``mark >= at`` (columns ``by, mark, value``)."""
     return _nearest(points, marks, by, at, value, name, forward=True)
