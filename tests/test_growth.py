@@ -3,9 +3,10 @@
 import random
 
 import duckdb
+import pytest
 
 from wordloom.operators import repeats, signal, takes
-from wordloom.plans import catalogue
+from wordloom.plans import assembly, catalogue, registry, rules
 
 
 def plan(df) -> str:
@@ -127,3 +128,24 @@ def test_takes_that_tie_in_score_and_first_word_go_to_the_later_last_word(spark)
         t = spark.createDataFrame(given, "project long, sentence long, first_word long, last_word long, score double").coalesce(1)
         for prefer in ("best", "last"):
             assert sorted((r.sentence, r.last_word) for r in takes.chosen(t, prefer).collect()) == [(0, 12), (1, 12)]
+
+
+def documents(spark, path, seed=6):
+    rng = random.Random(seed)
+    said = ["the", "of", "um", "er", "plan", "goes", "on.", "well,", "-", "Tool?"]
+    rows = [(k, " ".join(rng.choices(said, k=rng.randint(0, 90))) + rng.choice(["", " ", "\n"])) for k in range(30)] + [(90, None), (91, " \n "), (92, "um")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+
+
+@pytest.mark.parametrize("module, name", [(catalogue, n) for n in ("merge_touching", "remove_tiny", "marker_frame", "filler_spans")] + [(assembly, n) for n in ("kept_ranges", "chapter_first", "unscripted_marker", "midpoint_label", "eval_rates", "subword_times")] + [(rules, n) for n in ("judge_context", "zone_split")])
+def test_word_queries_shuffle_texts_only_and_equal_their_sql(spark, tmp_path, module, name):
+    documents(spark, tmp_path)
+    found = getattr(module, name)(spark, str(tmp_path))
+    own = plan(found)
+    exchanges = [line for line in own.splitlines() if "Exchange" in line and "ReusedExchange" not in line]
+    assert exchanges and all("REPARTITION_BY_NUM" in line for line in exchanges) and "Join" not in own, own
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ", ".join(f'"{c}"' for c in found.columns)
+    want = db.execute(f"SELECT {columns} FROM ({registry.SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want)) and want

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timing
 from ..operators import fillers, intervals, islands, script, timeline
-from .carriers import FRAMES_SQL, SESSIONS_SQL, WORDS_SQL, frames, sessions, table, words
+from .carriers import FRAMES_SQL, SESSIONS_SQL, WORDS_SQL, frames, placed, sessions, table, words
 from .catalogue import CUT_SQL, GROUP_SQL, _framed, _ranges
 from .registry import query
 
@@ -40,7 +40,7 @@ SELECT source, CAST(w AS BIGINT) AS word, ltrim(string_agg(tok, '' ORDER BY k),
 def subword_times(spark, sf_dir):
     """Pieces that begin with a space or U+2581 start a word: its text, first start and last end."""
     cut = F.regexp_extract_all(F.translate("text", " ", "▁"), F.lit("(?s).{1,4}"), F.lit(0))  # one pass, whatever the length
-    pieces = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("source"), F.posexplode(cut).alias("k", "tok"))
+    pieces = placed(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where("text <> ''").select(F.col("doc_id").alias("source"), F.posexplode(cut).alias("k", "tok"))
     starts = F.col("tok").startswith("▁") | F.col("tok").startswith(" ")
     made = islands.number(pieces, ["source"], ["k"], starts, "word")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "tok"))), lambda x: x["tok"]), "")  # one word's pieces
@@ -121,18 +121,17 @@ def chapter_first(spark, sf_dir):
 def unscripted_marker(spark, sf_dir):
     """Long runs of at least 5 s that no take holds: a marker on the first kept word of each."""
     w = words(spark, sf_dir)
-    runs = w.groupBy("source", "sent").agg(F.count("*").alias("n"), (F.max("end") - F.min("start")).alias("ms")).where("n >= 12 AND ms >= 5000").select("source", "sent")
-    return fillers.kept(w, _drops(w)).join(runs, ["source", "sent"]).groupBy("source", "sent").agg(F.min("i").cast("long").alias("at_word"))
+    runs = fillers.marked(w, _drops(w)).groupBy("source", "sent").agg(F.count("*").alias("n"), (F.max("end") - F.min("start")).alias("ms"), F.min(F.when(~F.col("dropped"), F.col("i"))).cast("long").alias("at_word"))
+    return runs.where("n >= 12 AND ms >= 5000 AND at_word IS NOT NULL").select("source", "sent", "at_word")
 
 
 @query(f"""WITH {WORDS_SQL}, {GROUP_SQL}, sp AS (SELECT source, in_ms + 90 AS s, out_ms - 200 AS e FROM ranges)
 SELECT w.source, CAST(w.i AS BIGINT) AS i, EXISTS (SELECT 1 FROM sp WHERE sp.source = w.source AND (w."start" + w."end") // 2 >= s AND (w."start" + w."end") // 2 < e) AS kept FROM words w""")
 def midpoint_label(spark, sf_dir):
-    """Whether a half-open span of the same source holds a word's midpoint (an interval join by time buckets)."""
+    """Whether a half-open span of the same source holds a word's midpoint (whether, not which: no join)."""
     spans = _ranges(spark, sf_dir).select("source", (F.col("in_ms") + 90).alias("s"), (F.col("out_ms") - 200).alias("e")).where("s < e")
     w = words(spark, sf_dir).select("source", "i", F.expr("(start + end) div 2").alias("mid"))
-    held = intervals.within(w, spans, ["source"], "mid", "s", "e", 60_000).select("source", "i", F.lit(True).alias("kept"))
-    return w.join(held.distinct(), ["source", "i"], "left").select("source", F.col("i").cast("long").alias("i"), F.coalesce("kept", F.lit(False)).alias("kept"))
+    return intervals.held(w, spans, ["source"], "mid", "s", "e", "kept").select("source", F.col("i").cast("long").alias("i"), "kept")
 
 
 @query(f"""WITH {WORDS_SQL}, {_DROPS}, x AS (SELECT w.source, w.sent, w."end" - w."start" AS ms, w.i % 3 > 0 AS gold, k.i IS NOT NULL AS kept FROM words w LEFT JOIN kw k ON k.source = w.source AND k.i = w.i)
@@ -141,9 +140,8 @@ round(CASE WHEN coalesce(sum(ms) FILTER (gold), 0) = 0 THEN 0.0 ELSE count(*) FI
 def eval_rates(spark, sf_dir):
     """False cuts and missed words of each source, as counts and per ten minutes of gold."""
     w = words(spark, sf_dir)
-    kept = fillers.kept(w, _drops(w)).select("source", "i", F.lit(True).alias("kept"))
-    gold, kept_ = F.col("i") % 3 > 0, F.col("kept")
-    x = w.join(kept, ["source", "i"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    x = fillers.marked(w, _drops(w))
+    gold, kept_ = F.col("i") % 3 > 0, ~F.col("dropped")
     ms = F.coalesce(F.sum(F.when(gold, F.col("end") - F.col("start"))), F.lit(0))
     rate = lambda n: F.round(F.when(ms == 0, 0.0).otherwise(n / (ms / 600000.0)), 6)
     false_words, false_sents, missed = F.count_if(gold & ~kept_), F.count_distinct(F.when(gold & ~kept_, F.col("sent"))), F.count_if(kept_ & ~gold)
