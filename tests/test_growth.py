@@ -149,3 +149,14 @@ def test_word_queries_shuffle_texts_only_and_equal_their_sql(spark, tmp_path, mo
     columns = ", ".join(f'"{c}"' for c in found.columns)
     want = db.execute(f"SELECT {columns} FROM ({registry.SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want)) and want
+
+
+def test_blocks_of_the_vocabulary_are_dealt_in_parts(spark, tmp_path):
+    rng = random.Random(2)
+    said = " ".join("ofth" + "".join(rng.choices("abcd", k=rng.randint(4, 9))) for _ in range(120))
+    spark.createDataFrame([(1, 1, said)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = catalogue.fuzzy_vocab(spark, str(tmp_path))
+    assert "part" in plan(found).split("ShuffledHashJoin", 1)[1].splitlines()[0]
+    v = sorted({w for w in said.split() if 9 <= len(w) <= 12})
+    got = [(r.a, r.b) for r in found.collect()]
+    assert sorted(got) == [(a, b) for n, a in enumerate(v) for b in v[n + 1 :] if abs(len(a) - len(b)) <= 2]
